@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import jaccard_join, quality_rules, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+        "op6_token_store": token_store.op6_token_store,
+        "op7_warc": warc.op7_warc,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_jaccard_join": jaccard_join.SQL,
+        "op7_warc": warc.SQL,
+        "op10_quality_rules": quality_rules.SQL,
     }
