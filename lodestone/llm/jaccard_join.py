@@ -7,19 +7,21 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of distinc
     and counts the shingles that repeat within a chunk of input.  Equal sets are one
     class from here on.
 2.  Index.  Shingles are ordered by rarity: those that the counts show as frequent
-    come last, by count; the rest by hash.  Two sets that link share a shingle among
-    their first n/4 + 1 (prefix filter).  Posting lists are dealt out in packed blocks.
-3.  Block skip.  Each list is cut by position into an early block (7 * position <= n)
-    and a late one.  A pair's first common shingle cannot be late in both sets
-    (positional filter), so the late x late block pair is skipped and a list without
-    an early entry is never opened.
-4.  Answer skip.  Each list names one member as its hub, and members of lists with the
-    same hub meet in that hub's group, in blocks of bounded size.  There the hub's
-    overlaps are computed first and answers for other sets follow from them: a set
-    already joined to another through answered links needs no comparison with it, so
-    a group of near copies takes about one comparison a set, not one a pair.
-    Sets of large groups that are left outside the group's main component are then
-    compared with each block of the group.
+    come last, by count; the rest by hash.  Two sets that link share at least
+    1 + min(n, m) // 16 of their first n // 4 + 1 + n // 16 shingles (prefix filter
+    with a count).  Posting lists are dealt out in packed blocks.
+3.  Block skip.  A shared shingle at positions p and q leaves room for at most
+    min(p, q) + min(n - p, m - q) common ones, so entries of a list whose positions
+    are further apart than a link allows are skipped, block of positions by block.
+    Lists of up to ``SMALL`` entries give counted pairs; only pairs with the full
+    count go on.
+4.  Answer skip.  A longer list names one member as its hub, and members of lists with
+    the same hub meet in that hub's group, in blocks of bounded size (sets with too few
+    shared shingles for any link don't).  There the hub's overlaps are computed first
+    and answers for other sets follow from them: a set already joined to another
+    through answered links needs no comparison with it, so a group of near copies takes
+    about one comparison a set, not one a pair.  Sets of large groups that are left
+    outside the group's main component are then compared with each block of the group.
 
 Collision bound: ids and shingles are 64-bit hashes, so different sets share an id with
 probability n^2 / 2^65 (under 1e-8 for 10^5 documents).
@@ -53,12 +55,15 @@ FREQUENT_MOST = 1 << 20
 #: Postings in one block of the index, members of a group compared in one task at a time.
 BUCKET = 2 << 20
 GROUP = 1024
+#: Entries of a list that gives its pairs; a longer one gives a hub.
+SMALL = 16
 #: Up to this many ids (32 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 4 << 20
 
 _SETS = "doc_id long, n long, id long, gram long, times long"
 _INDEX = "bucket long, block binary"
-_PAIRS = "id long, hub long"
+_FOUND = "kind int, id long, hub long, c long, need long"
+PAIR, MEMBER, COUNT = 0, 1, 2
 
 
 def _frame(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,8 +126,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield repeats()
 
 
+def _need(n: np.ndarray) -> np.ndarray:
+    """Fewest shared prefix shingles of a set in any link: for its smallest partner."""
+    return 1 + -(-3 * n // 4) // 16
+
+
 def _index(frequent, n_buckets: int):
-    """Packed prefix postings: a block holds a table of set ids and (shingle, index of the id, early?)."""
+    """Packed prefix postings.  A block: k; k set ids, k sizes; shingles, indexes of ids, positions."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranks, hubs = frequent.value
@@ -132,24 +142,22 @@ def _index(frequent, n_buckets: int):
         size, seen = 0, set()
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            g, i, early = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))
+            g, i, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
             to = (K.mix(g ^ K.U(0x1234567)) % K.U(n_buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(n_buckets + 1)) if n_buckets < len(g) else None
-            starts = np.flatnonzero(np.diff(to[order], prepend=-1)) if cuts is None else cuts[:-1][np.diff(cuts) > 0]
-            ends = np.append(starts[1:], len(g))
+            starts = np.flatnonzero(np.diff(to[order], prepend=-1))
             names, out = [], []
-            for lo, hi in zip(starts, ends, strict=True):
+            for lo, hi in zip(starts, np.append(starts[1:], len(g)), strict=True):
                 at = order[lo:hi]
-                own, local = np.unique(i[at], return_inverse=True)
+                own, first, local = np.unique(i[at], return_index=True, return_inverse=True)
                 names.append(int(to[at[0]]))
-                out.append(np.array([len(own)], np.int64).tobytes() + own.tobytes() + g[at].tobytes() + (local.astype(np.uint32) * 2 + early[at]).astype(np.uint32).tobytes())
+                out.append(b"".join(x.tobytes() for x in (np.array([len(own)], np.int64), own, n[at][first].astype(np.uint32), g[at], local.astype(np.uint32), np.minimum(p[at], 65535).astype(np.uint16))))
             if direct:
-                pairs = np.unique(np.concatenate(direct), axis=0)
-                to = (K.mix(pairs[:, 0].view(np.uint64)) % K.U(n_buckets)).astype(np.int64)
+                rows = np.concatenate(direct)
+                to = (K.mix(rows[:, 0].view(np.uint64)) % K.U(n_buckets)).astype(np.int64)
                 for b in np.unique(to):
                     names.append(-1 - int(b))
-                    out.append(pairs[to == b].tobytes())
+                    out.append(rows[to == b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
@@ -162,20 +170,21 @@ def _index(frequent, n_buckets: int):
                 often = np.zeros(len(values), bool)
                 often[_found(grams, values, hit)] = True
                 doc = np.repeat(np.arange(len(own)), n)
+                prefix = n // 4 + 1 + n // 16
                 rare = np.zeros(len(values) + 1, np.int64)
                 np.cumsum(~often, out=rare[1:])
                 place = rare[:-1] - rare[ends[:-1]][doc]
-                take = np.flatnonzero(~often & (place <= n[doc] // 4) & new[doc])
+                take = np.flatnonzero(~often & (place < prefix[doc]) & new[doc])
                 d = doc[take]
-                held.append((values[take], own[d], 7 * place[take] <= n[d]))
+                held.append((values[take], own[d], n[d], place[take]))
                 size += len(take)
-                lack = n // 4 + 1 - (rare[ends[1:]] - rare[ends[:-1]])
+                lack = prefix - (rare[ends[1:]] - rare[ends[:-1]])
                 for k in np.flatnonzero((lack > 0) & new):
                     v = values[ends[k] : ends[k + 1]][often[ends[k] : ends[k + 1]]]
                     at = np.searchsorted(grams, v)
                     at = at[np.argsort(ranks[at])][: lack[k]]
-                    hub = np.unique(hubs[at])
-                    direct.append(np.stack([np.full(len(hub), own[k]), hub], 1))
+                    hub, times = np.unique(hubs[at], return_counts=True)
+                    direct.append(np.stack([np.full(len(hub), own[k]), hub, times, np.full(len(hub), n[k])], 1))
                     size += len(hub)
                 if size >= CHUNK:
                     yield from blocks()
@@ -186,37 +195,64 @@ def _index(frequent, n_buckets: int):
     return f
 
 
+def _counted(kind: int, id_: np.ndarray, hub: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (kind, id, hub, how often, need) of equal (id, hub)."""
+    order = np.lexsort((hub, id_))
+    id_, hub, need = id_[order], hub[order], need[order]
+    start = np.flatnonzero(np.concatenate([[True], (id_[1:] != id_[:-1]) | (hub[1:] != hub[:-1])])) if len(id_) else np.zeros(0, np.int64)
+    times = np.diff(np.append(start, len(id_)))
+    return np.full(len(start), kind, np.int32), id_[start], hub[start], times, need[start]
+
+
 def _hubs(t: pa.Table) -> pa.Table:
-    """Pairs (member, hub) of one block of the index."""
+    """Counted pairs, members of hubs' groups and counts of shared shingles from one block of the index."""
+    names = ["kind", "id", "hub", "c", "need"]
     if t.num_rows and t.column("bucket")[0].as_py() < 0:
-        p = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in t.column("block")]), axis=0)
-        return pa.table({"id": p[:, 0], "hub": p[:, 1]})
-    grams, ids, early = [], [], []
+        p = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 4) for x in t.column("block")])
+        _, once = np.unique(np.stack([p[:, 0].view(np.uint64), p[:, 1].view(np.uint64)], 1), axis=0, return_index=True)
+        p = p[once]
+        return pa.table([np.full(len(p), MEMBER, np.int32), p[:, 0], p[:, 1], p[:, 2], _need(p[:, 3])], names=names)
+    columns: list[list[np.ndarray]] = [[], [], [], []]
     for x in t.column("block"):
         b = x.as_py()
         k = int(np.frombuffer(b, np.int64, 1)[0])
-        own = np.frombuffer(b, np.int64, k, 8)
-        m = (len(b) - 8 - 8 * k) // 12
-        grams.append(np.frombuffer(b, np.uint64, m, 8 + 8 * k))
-        local = np.frombuffer(b, np.uint32, m, 8 + 8 * k + 8 * m)
-        ids.append(own[local >> 1])
-        early.append((local & 1).astype(bool))
-    g, i, e = np.concatenate(grams), np.concatenate(ids), np.concatenate(early)
+        m = (len(b) - 8 - 12 * k) // 14
+        at = 8 + 12 * k
+        local = np.frombuffer(b, np.uint32, m, at + 8 * m)
+        columns[0].append(np.frombuffer(b, np.uint64, m, at))
+        columns[1].append(np.frombuffer(b, np.int64, k, 8)[local])
+        columns[2].append(np.frombuffer(b, np.uint32, k, 8 + 8 * k)[local].astype(np.int64))
+        columns[3].append(np.frombuffer(b, np.uint16, m, at + 12 * m).astype(np.int64))
+    g, i, n, p = (np.concatenate(x) for x in columns)
     order = np.argsort(g, kind="stable")
-    same = np.diff(g[order]) == 0
-    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(g) else order
-    g, i, e = g[shared], i[shared], e[shared]
-    order = np.lexsort((K.mix(i.view(np.uint64)), ~e, g))  # early entries first: the first of a list is its hub
-    g, i, e = g[order], i[order], e[order]
-    once = np.ones(len(g), bool)
-    once[1:] = (g[1:] != g[:-1]) | (i[1:] != i[:-1])
-    g, i, e = g[once], i[once], e[once]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(g)))
-    opened = np.repeat((size > 1) & e[start], size)
-    hub = np.repeat(i[start], size)
-    p = np.unique(np.stack([i[opened], hub[opened]], 1), axis=0) if opened.any() else np.zeros((0, 2), np.int64)
-    return pa.table({"id": p[:, 0], "hub": p[:, 1]})
+    same = g[order][1:] == g[order][:-1]
+    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    order = shared[np.lexsort((K.mix(i[shared].view(np.uint64)), g[shared]))]
+    once = np.ones(len(order), bool)
+    once[1:] = (g[order][1:] != g[order][:-1]) | (i[order][1:] != i[order][:-1])
+    g, i, n, p = (x[order[once]] for x in (g, i, n, p))
+    if not len(g):
+        return pa.table([np.zeros(0, np.int32)] + [np.zeros(0, np.int64)] * 4, names=names)
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    length = np.diff(np.append(start, len(g)))
+    size = np.repeat(length, length)
+    hub = np.repeat(i[start], length)
+    small, large = (size > 1) & (size <= SMALL), size > SMALL
+    pairs: list[tuple[np.ndarray, ...]] = []
+    for d in range(1, SMALL):
+        a = np.flatnonzero((g[d:] == g[:-d]) & small[d:])
+        b = a + d
+        room = np.minimum(p[a], p[b]) + np.minimum(n[a] - p[a], n[b] - p[b])
+        far = (7 * room < 3 * (n[a] + n[b])) & (p[a] < 65535) & (p[b] < 65535)
+        far |= (4 * np.minimum(n[a], n[b]) < 3 * np.maximum(n[a], n[b]))
+        a, b = a[~far], b[~far]
+        pairs.append((np.minimum(i[a], i[b]), np.maximum(i[a], i[b]), 1 + np.minimum(n[a], n[b]) // 16))
+    rows = [
+        _counted(PAIR, *(np.concatenate(x) for x in zip(*pairs, strict=True))),
+        _counted(MEMBER, i[large], hub[large], _need(n[large])),
+        _counted(COUNT, i[small], np.zeros(int(small.sum()), np.int64), _need(n[small])),
+    ]
+    return pa.table([np.concatenate(x) for x in zip(*rows, strict=True)], names=names)
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,19 +378,21 @@ def classes(docs: DataFrame) -> DataFrame:
     order = np.argsort(grams)
     times = top.column("times").to_numpy()[order]
     hubs = top.column("id").to_numpy()[order]
-    total, = made.where("gram is null").select(F.coalesce(F.sum(F.expr("n div 4 + 1")), F.lit(0))).first()
+    total, = made.where("gram is null").select(F.coalesce(F.sum(F.expr("n div 4 + 1 + n div 16")), F.lit(0))).first()
     frequent = spark.sparkContext.broadcast((grams[order], np.lexsort((grams[order], times)).argsort(), hubs))
     buckets = max(12, -(-total // BUCKET))
     index = docs.mapInArrow(_index(frequent, buckets), _INDEX)
-    pairs = index.groupBy("bucket").applyInArrow(_hubs, _PAIRS)
-    members = staged(pairs.distinct(), "members")
-
+    found = index.groupBy("bucket").applyInArrow(_hubs, _FOUND)
+    found = staged(found.groupBy("kind", "id", "hub").agg(F.sum("c").alias("c"), F.max("need").alias("need")), "found")
+    enough = found.where(F.col("kind") != PAIR).groupBy("id").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("id")
+    members = staged(found.where(F.col("kind") == MEMBER).select("id", "hub").join(enough, "id"), "members")
     count = members.groupBy("hub").agg(F.count("*").alias("k"))
     large = staged(count.where(F.col("k") > GROUP).select("hub", F.expr(f"cast(ceil(k / {GROUP}) as int)").alias("blocks")), "large")
-    single = count.where("k = 1").select("hub")
-    named = members.join(single, "hub", "left_anti")
+    pairs = found.where((F.col("kind") == PAIR) & (F.col("c") >= F.col("need"))).select("id", "hub")
+    named = members.join(count.where("k = 1").select("hub"), "hub", "left_anti").select("id", "hub").union(pairs).distinct()
+    named = staged(named, "named")
     least = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    reps = staged(least.join(named.select("id").union(named.select("hub")).distinct().withColumnRenamed("id", "id"), "id", "left_semi"), "reps")
+    reps = staged(least.join(named.select("id").union(named.select("hub")).distinct(), "id", "left_semi"), "reps")
     sets = staged(_fetch(docs, reps), "grams")
     parts = max(12, -(-total // (2 << 20)))
     placed = (
@@ -396,11 +434,11 @@ def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """One document of each component stays: the row whose doc_id names it.
 
     Rows that share a kept doc_id are repeats of it, and one of them stays.  Rows
-    without a doc_id stay unless their component has one.
+    without a doc_id can't be told apart and stay.
     """
     found = staged(classes(docs), "components")
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs.doc_id.eqNullSafe(gone["_gone"]), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
     ids = found.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     return kept if ids[0] == ids[1] else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
 
@@ -409,17 +447,18 @@ SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
-    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
-  FROM w),
-e AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+t AS (SELECT doc_id, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM w),
+g AS (
+  SELECT doc_id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS gram
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (
+  SELECT DISTINCT doc_id, gram FROM g WHERE gram IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+s AS (SELECT w.doc_id, count(gram) AS n FROM w LEFT JOIN e ON e.doc_id = w.doc_id GROUP BY w.doc_id),
 o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT u, v FROM o JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v
-  WHERE 100 * common >= 75 * (len(a.grams) + len(b.grams) - common)),
+l AS (SELECT u, v FROM o JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * common >= 75 * (a.n + b.n - common)),
 both_ways AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT node, v FROM r JOIN both_ways ON seen = u),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
-SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON node = doc_id
+SELECT doc_id, n AS n_shingles, component_id FROM s JOIN c ON node = doc_id
 """
