@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_rules, token_store, warc
+from . import decontaminate, jaccard_join, quality_rules, token_store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_store": token_store.op6_token_store,
         "op7_warc": warc.op7_warc,
