@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, quality_rules, token_store, warc
+from . import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, token_store, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_store": token_store.op6_token_store,
         "op7_warc": warc.op7_warc,
+        "op8_mixing": mixing.op8_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
