@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, token_store, toxicity, warc
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, quote_linking, token_store, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,17 +16,21 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_quote_linking": quote_linking.op4_quote_linking,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_store": token_store.op6_token_store,
         "op7_warc": warc.op7_warc,
         "op8_mixing": mixing.op8_mixing,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quote_linking": quote_linking.SQL,
         "op5_jaccard_join": jaccard_join.SQL,
         "op7_warc": warc.SQL,
+        "op9_line_dedup": line_dedup.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
