@@ -113,9 +113,10 @@ class Index:
             flat = np.concatenate([self.words[k] for k in own])
             key = np.concatenate([sig for _, sig in self._signatures(flat, np.arange(len(own)) * n, n)])
             order = np.argsort(key, kind="stable")
-            self.sizes[n] = (np.unique(np.concatenate([pair_hashes(self.words[k]) for k in own])), key[order], np.tile(own, self.tables)[order])
+            pairs = np.append(np.isin(self.pairs, np.concatenate([pair_hashes(self.words[k]) for k in own])), False)
+            self.sizes[n] = (pairs, key[order], np.tile(own, self.tables)[order])
 
-        self.own_pairs = [pair_hashes(w) for w in self.words]
+        self.own_pairs = [set(pair_hashes(w).tolist()) for w in self.words]
         self.alike: list[list[int]] = self._alike()
 
     def _alike(self) -> list[list[int]]:
@@ -174,19 +175,28 @@ class Index:
     def walks(self) -> int:
         return -(-self.tables // TABLES_OF_WALK)
 
-    def _windows(self, words: np.ndarray, first: np.ndarray, pairs: np.ndarray, least: int, most: int) -> np.ndarray:
-        """Positions from which ``most`` words hold at least ``least`` of the pairs."""
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        hits = np.zeros(len(words), np.int64)
-        np.cumsum(_member(pair_hashes(words), pairs) & (doc[1:] == doc[:-1]), out=hits[1:])
-        return np.flatnonzero(hits[np.minimum(np.arange(len(words)) + most, first[1:][doc]) - 1] - hits >= least)
+    def _places(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each word, the number of the pair it begins; the count of pairs where that is no item's pair."""
+        h = pair_hashes(words)
+        own = np.flatnonzero(_member(h, self.pairs))
+        out = np.full(len(words), len(self.pairs))
+        out[own] = np.searchsorted(self.pairs, h[own])
+        out[first[1:][first[1:] > first[:-1]] - 1] = len(self.pairs)
+        return out
+
+    def _windows(self, flags: np.ndarray, end: np.ndarray, least: int, most: int) -> np.ndarray:
+        """Positions from which ``most`` words hold at least ``least`` flagged pairs."""
+        hits = np.zeros(len(flags) + 1, np.int32)
+        np.cumsum(flags, out=hits[1:])
+        return np.flatnonzero(hits[np.minimum(np.arange(len(flags)) + most, end) - 1] - hits[:-1] >= least)
 
     def suspects(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Documents that the filter of all items together leaves."""
         if len(words) < 2 or not self.words:
             return np.zeros(0, np.int64)
         least, most = min(self.sizes), max(self.sizes)
-        at = self._windows(words, first, self.pairs, least - 1 - 2 * (least // 4), most + most // 4)
+        end = np.repeat(first[1:], np.diff(first))
+        at = self._windows(self._places(words, first) < len(self.pairs), end, least - 1 - 2 * (least // 4), most + most // 4)
         return np.unique(np.searchsorted(first, at, "right") - 1)
 
     def leaks(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -195,6 +205,7 @@ class Index:
             return
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
+        own_sets = self.own_pairs
 
         def verify(d: int, item: int, p: int) -> bool:
             """Is the item leaked around position p?"""
@@ -202,11 +213,11 @@ class Index:
             n, k = len(w), len(w) // 4
             if (d, item) in best and abs(best[d, item][1] + int(first[d]) - p) <= n:
                 return True
-            a, b = max(int(first[d]), p - n - k), min(int(first[d + 1]), p + 3 * n + k)
+            a, b = max(int(first[d]), p - k), min(int(first[d + 1]), p + n + 2 * k)
             if (d, item, (p - int(first[d])) // max(1, k)) in tried:
                 return False
             tried.add((d, item, (p - int(first[d])) // max(1, k)))
-            if int(np.isin(pair_hashes(words[a:b]), self.own_pairs[item]).sum()) < n - 1 - 2 * k:
+            if len(own_sets[item] - set(pair_hashes(words[a:b]).tolist())) > 2 * k:
                 return False
             dist, s, e = best_run(w, words[a:b])
             if dist > k:
@@ -215,9 +226,10 @@ class Index:
             best[d, item] = min(best.get((d, item), here), here)
             return True
 
+        places, end = self._places(words, first), np.repeat(first[1:], np.diff(first))
         for n, (pairs, keys, items) in self.sizes.items():
             k = n // 4
-            every = self._windows(words, first, pairs, n - 1 - 2 * k, n + k)
+            every = self._windows(pairs[places], end, n - 1 - 2 * k, n + k)
             for part in range(0, len(every), 1 << 14):
                 s = every[part : part + (1 << 14)]
                 for walk in range(self.walks):
