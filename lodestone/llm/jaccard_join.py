@@ -47,18 +47,18 @@ from .stage import staged, table
 
 WIDTH = 5
 #: Shingles counted at a time in one task.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A shingle that repeats within chunks this many times in all counts as frequent.
 FREQUENT = 16
 #: Most frequent shingles that are sent to the executors (16 MB); the order of further ones is by hash.
 FREQUENT_MOST = 1 << 20
 #: Postings in one block of the index, members of a group compared in one task at a time.
-BUCKET = 2 << 20
+BUCKET = 1 << 20
 GROUP = 1024
 #: Entries of a list that gives its pairs; a longer one gives a hub.
 SMALL = 16
-#: Up to this many ids (32 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 4 << 20
+#: Up to this many places of sets in groups (40 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 _SETS = "doc_id long, n long, id long, gram long, times long"
 _INDEX = "bucket long, block binary"
@@ -186,7 +186,7 @@ def _index(frequent, n_buckets: int):
                     hub, times = np.unique(hubs[at], return_counts=True)
                     direct.append(np.stack([np.full(len(hub), own[k]), hub, times, np.full(len(hub), n[k])], 1))
                     size += len(hub)
-                if size >= CHUNK:
+                if size >= CHUNK // 2:
                     yield from blocks()
                     held, direct, size, seen = [], [], 0, set()
         if held:
@@ -255,11 +255,28 @@ def _hubs(t: pa.Table) -> pa.Table:
     return pa.table([np.concatenate(x) for x in zip(*rows, strict=True)], names=names)
 
 
-def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SENT = "hub long, block int, part int, label long, asks boolean, id long, grams binary"
+
+
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each group that a set goes to; of rows that repeat a text, one goes."""
+    seen: set[int] = set()
     for batch in batches:
-        for _, own, n, values, ends in _frame(batch):
-            keep = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array([values[ends[k] : ends[k + 1]].tobytes() for k in keep], pa.binary())], names=["id", "grams"])
+        wanted, groups = batch.column(1).to_numpy(), batch.column(2)
+        for lo, _, raw, offs in K.pieces(batch.column(0)):
+            values, ends = K.shingle_sets(raw, offs, WIDTH)
+            own = K.fingerprints(values, ends)[0]
+            out: list[dict] = []
+            for k in np.flatnonzero(own == wanted[lo : lo + len(own)]):
+                if int(own[k]) not in seen:
+                    seen.add(int(own[k]))
+                    grams = values[ends[k] : ends[k + 1]].tobytes()
+                    out += [g | {"id": int(own[k]), "grams": grams} for g in groups[lo + k].as_py()]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_SENT_TYPES)
+
+
+_SENT_TYPES = pa.schema([(a, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[b]) for a, b in (x.split() for x in _SENT.split(", "))])
 
 
 def answer(sets: list[np.ndarray], labels: np.ndarray, queries: np.ndarray | None = None, percent: int = 75) -> list[tuple[int, int]]:
@@ -353,13 +370,13 @@ def _answers(keys: list[str]):
     return f
 
 
-def _fetch(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, grams of the classes in reps(id, doc_id); their texts are read and hashed again."""
-    want = reps.select(F.col("doc_id").alias("_want"))
-    want = F.broadcast(want) if want.count() <= BROADCAST_IDS else want.hint("shuffle_hash")
-    rows = docs.join(want, docs.doc_id.eqNullSafe(want["_want"]), "left_semi").select("doc_id", "text")
-    blobs = rows.mapInArrow(_blobs, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams"))
-    return blobs.join(reps.select("id"), "id", "left_semi")
+def _send(docs: DataFrame, reps: DataFrame, placed: DataFrame) -> DataFrame:
+    """Each placed set with its shingles: texts of the classes' first documents are read and hashed again."""
+    groups = placed.groupBy("id").agg(F.collect_list(F.struct("hub", "block", "part", "label", "asks")).alias("groups"))
+    want = staged(groups.join(reps, "id").select(F.col("doc_id").alias("_want"), F.col("id"), "groups"), "wanted")
+    size = want.agg(F.coalesce(F.sum(F.size("groups")), F.lit(0))).first()[0]
+    want = F.broadcast(want) if size <= BROADCAST_ROWS else want.hint("shuffle_hash")
+    return docs.join(want, docs.doc_id.eqNullSafe(want["_want"])).select("text", "id", "groups").mapInArrow(_sent, _SENT)
 
 
 def _in_groups(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
@@ -393,7 +410,6 @@ def classes(docs: DataFrame) -> DataFrame:
     named = staged(named, "named")
     least = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     reps = staged(least.join(named.select("id").union(named.select("hub")).distinct(), "id", "left_semi"), "reps")
-    sets = staged(_fetch(docs, reps), "grams")
     parts = max(12, -(-total // (2 << 20)))
     placed = (
         named.join(large, "hub", "left")
@@ -401,8 +417,8 @@ def classes(docs: DataFrame) -> DataFrame:
         .select("id", "hub", "block")
     )
     centre = named.select("hub").distinct().join(large, "hub", "left").select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-    first = placed.union(centre).join(sets, "id").withColumn("label", F.col("id")).withColumn("asks", F.lit(True))
-    links = staged(_in_groups(first, ["hub", "block"], parts), "links")
+    first = placed.union(centre).select("id", "hub", "block", F.lit(0).alias("part"), F.col("id").alias("label"), F.lit(True).alias("asks"))
+    links = staged(_in_groups(_send(docs, reps, first), ["hub", "block"], parts), "links")
 
     if large.limit(1).count():
         known = connected_components(links)
@@ -414,7 +430,7 @@ def classes(docs: DataFrame) -> DataFrame:
         ask = outside.select("id", "hub", "label", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("block").alias("part"))
         asked = outside.select("hub", F.col("block").alias("part")).distinct()
         told = inside.join(asked, "hub").select("id", "hub", "label", F.lit(False).alias("asks"), "block", "part")
-        second = ask.unionByName(told).join(sets, "id")
+        second = _send(docs, reps, ask.unionByName(told))
         links = staged(links.union(_in_groups(second, ["hub", "block", "part"], parts)), "links")
 
     roots = connected_components(links).withColumnRenamed("node", "id")
