@@ -115,7 +115,9 @@ def linked(messages: DataFrame) -> DataFrame:
         up = roots.select(F.col("conv_id"), F.col("turn").alias("parent_turn"), F.col("root_turn").alias("_root"), (F.col("depth") + 1).alias("_depth"))
         named = rows.join(own, "key", "left").join(up, ["conv_id", "parent_turn"], "left")
     quoted = F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(_QUOTED))).cast("long")
-    said = own_text(F.col("text"))
+    # of a column made once: Catalyst would evaluate a second copy of the lambdas
+    named = named.withColumn("_said", own_text(F.col("text")))
+    said = F.col("_said")
     return named.select(
         "conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), "parent_turn", F.coalesce("_root", "parent_turn", "turn").alias("root_turn"),
         F.coalesce("_depth", F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0)).cast("long").alias("depth"), quoted.alias("n_quoted"), said.alias("text"),
