@@ -62,7 +62,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def _cells(sets: DataFrame) -> Column:
     """The counts' logarithms (in quarters of a power of 2) of all cells, as one folded array."""
-    found = {r["cell"]: r["n"] for r in sets.select(F.explode("tokens").alias("t")).groupBy((F.col("t").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")).agg(F.count("*").alias("n")).collect()}
+    # explode_outer: for explode, Catalyst would filter by a second copy of the tokens' expression
+    found = {r["cell"]: r["n"] for r in sets.select(F.explode_outer("tokens").alias("t")).groupBy((F.col("t").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")).agg(F.count("*").alias("n")).collect()}
     ranks = ",".join(str(int(4 * max(found.get(c, 1), 1).bit_length() + (found.get(c, 1) * 4 >> max(found.get(c, 1), 1).bit_length()))) for c in range(CELLS))
     return F.split(F.lit(ranks), ",").cast("array<bigint>")
 
@@ -90,7 +91,7 @@ def _fetch(docs: DataFrame, want: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = d.join(on_doc, d.doc_id.eqNullSafe(on_doc["_d"])).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("cut"), F.explode("wanted").alias("w"))
     got = with_tokens(rows.select("w.sid", "w.first", F.get(F.col("cut"), F.col("w._l")).alias("line")), F.col("line"))
-    return got.select("sid", "first", "tokens").where("tokens is not null").dropDuplicates(["sid"])
+    return got.select("sid", "first", "tokens").dropDuplicates(["sid"])
 
 
 def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
