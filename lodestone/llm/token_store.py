@@ -46,6 +46,8 @@ _SHARDS = "part int, start long, n_tokens long, shard binary"
 _DIGEST = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _GLUED = re.compile(r"\s\s")
+_STOPS = ",."
+_WHITE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -59,26 +61,59 @@ class Encoder:
         self.tok = Tokenizer.from_str(model)
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.cache: dict[str, bytes] = {}
+        self.starts = np.zeros(1 << 16, bool)
+        self.starts[[i for x, i in self.tok.get_vocab().items() if x.startswith("\u0120")]] = True  # a space in byte-level BPE
+        self.stops = dict(zip(_STOPS, self._ids(list(_STOPS)), strict=True))
+        #: Ids of pieces at the start of a text, and of pieces after a space.
+        self.bare: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        cut = text.split(" ") if not _GLUED.search(text) else _CUT.split(text)
-        return [cut[0], *(" " + x for x in cut[1:])]
+        """The text cut at the spaces that begin a pre-token; all but the first piece follow a space."""
+        return text.split(" ") if not _GLUED.search(text) else _CUT.split(text)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space.  Pieces without white space are encoded as one
+        text: each starts with the one id of its that begins with a space."""
+        plain = [i for i, x in enumerate(pieces) if x and not _WHITE.search(x)]
+        out: list[bytes] = [b""] * len(pieces)
+        ids = np.array(self.tok.encode_batch_fast(["".join([" " + pieces[i] for i in plain])], add_special_tokens=False)[0].ids if plain else [], "<u2")
+        starts = np.flatnonzero(self.starts[ids])
+        if len(starts) != len(plain):
+            plain, starts = [], starts[:0]
+        data, bounds = ids.tobytes(), [*(2 * starts).tolist(), 2 * len(ids)]
+        for i, lo, hi in zip(plain, bounds, bounds[1:]):
+            out[i] = data[lo:hi]
+        rest = [i for i, x in enumerate(out) if not x]
+        for i, x in zip(rest, self._ids([" " + pieces[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        bare, spaced = self.bare, self.spaced
+        if len(bare) + len(spaced) > CACHE_PIECES:
+            bare.clear(), spaced.clear()
         cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = list({x for p in cut for x in p if x not in cache})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for x, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, "<u2").tobytes()
-        out = [np.frombuffer(b"".join([cache[x] for x in p]), "<u2") for p in cut]
-        for x in new:
-            if len(x) > CACHE_CHARS:
-                del cache[x]
+        heads = list({p[0] for p in cut} - bare.keys())
+        tails = list(set().union(*(p[1:] for p in cut)) - spaced.keys())
+        for lo in range(0, len(heads), 4096):
+            bare.update(zip(heads[lo : lo + 4096], self._ids(heads[lo : lo + 4096]), strict=True))
+        # a comma or full stop after a letter is a pre-token of its own at the end of a piece
+        stopped = [x for x in tails if x and x[-1] in _STOPS and x[-2:-1].isalpha()]
+        plain = list((set(tails) - set(stopped)) | ({x[:-1] for x in stopped} - spaced.keys()))
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
+            spaced.update(zip(part, self._spaced_ids(part), strict=True))
+        for x in stopped:
+            spaced[x] = spaced[x[:-1]] + self.stops[x[-1]]
+        out = [np.frombuffer(bare[p[0]] + b"".join(map(spaced.__getitem__, p[1:])), "<u2") for p in cut]
+        for known, new in ((bare, heads), (spaced, [*stopped, *plain])):
+            for x in new:
+                if len(x) > CACHE_CHARS:
+                    del known[x]
         return out
 
 
