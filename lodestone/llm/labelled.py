@@ -17,6 +17,7 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, most: int = LABELLED
     Rows without an id or label are none; of several labels of an id the greatest
     counts, and of rows that share an id one is taken.
     """
+    docs = docs.select("doc_id", "text")  # other columns may bear any name
     y = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (folds(F.col("doc_id")) != 0))
     y = y.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(column).cast("int")).alias("y"))
     y = staged(y.orderBy(F.xxhash64("_id"), "_id").limit(most), "labels")

@@ -141,9 +141,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def without_removed(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without the removed lines."""
-    found = deduplicated(docs).select(F.col("doc_id").alias("_id"), "removed")
+    found = deduplicated(docs).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
     joined = docs.join(found, docs.doc_id.eqNullSafe(found["_id"]), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
+    kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(found["_removed"], i))
     return joined.select(*(F.array_join(kept, "\n").alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
