@@ -59,6 +59,12 @@ statement("symmetric_pair_gap", f"""SELECT x.n_name AS a, y.n_name AS b FROM nat
   LEFT ANTI JOIN ({_TRADE}) t ON least(x.n_nationkey, y.n_nationkey) = t.a AND greatest(x.n_nationkey, y.n_nationkey) = t.b""",
   f"""SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name
   WHERE NOT EXISTS (SELECT 1 FROM ({_TRADE}) t WHERE (t.a = x.n_nationkey AND t.b = y.n_nationkey) OR (t.a = y.n_nationkey AND t.b = x.n_nationkey))""")
+# the same over all of lineitem: the SQL of symmetric_pair_gap counts urgent returned lines only
+_ALL_TRADE = _TRADE.replace(" WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R'", "")
+statement("symmetric_pair_gap_all", f"""SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name
+  LEFT ANTI JOIN ({_ALL_TRADE}) t ON least(x.n_nationkey, y.n_nationkey) = t.a AND greatest(x.n_nationkey, y.n_nationkey) = t.b""",
+  f"""SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name
+  WHERE NOT EXISTS (SELECT 1 FROM ({_ALL_TRADE}) t WHERE (t.a = x.n_nationkey AND t.b = y.n_nationkey) OR (t.a = y.n_nationkey AND t.b = x.n_nationkey))""")
 statement("semi_exists", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")  # JN-3
 statement("missing_evidence_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")  # JN-4
 statement("correlated_counts", "SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation")  # JN-9
@@ -118,14 +124,22 @@ _CUBE = """SELECT region, year, priority, CAST(sum(claims) AS BIGINT) AS claims,
   WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY r_name, extract(YEAR FROM l_shipdate), p_brand, o_orderpriority) fine GROUP BY region, year, priority"""
 statement("coverage_cube", f"SELECT *, least(CAST(1.0 AS DOUBLE), CAST(claims AS DOUBLE) / 20 + CAST(independent AS DOUBLE) / 16) AS score FROM ({_CUBE}) c")
 # JN-15, GP-1: the full grid of the axes (fixed vocabularies) against the cube
-_GRID = f"""SELECT g.region, g.year, g.priority, coalesce(claims, 0) AS claims, coalesce(independent, 0) AS independent FROM
+def _grid(cube: str) -> str:
+    return f"""SELECT g.region, g.year, g.priority, coalesce(claims, 0) AS claims, coalesce(independent, 0) AS independent FROM
   (SELECT r_name AS region, y AS year, p AS priority FROM region CROSS JOIN (SELECT DISTINCT extract(YEAR FROM l_shipdate) AS y FROM lineitem) ys CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) ps) g
-  LEFT JOIN ({_CUBE}) c ON c.region = g.region AND c.year = g.year AND c.priority = g.priority"""
+  LEFT JOIN ({cube}) c ON c.region = g.region AND c.year = g.year AND c.priority = g.priority"""
+
+
 _GRADE = "CASE WHEN claims = 0 THEN 'EMPTY' WHEN independent = 0 THEN 'VERY_LOW' WHEN independent <= 1 AND claims < 3 THEN 'SINGLE_SOURCE' WHEN 4 * claims + 5 * independent < 20 THEN 'LOW_EVIDENCE' END"
-statement("gap_grid", f"SELECT region, year, priority, gap, least(10, 4 + CASE WHEN gap = 'EMPTY' THEN 2 ELSE 1 END + CASE WHEN independent = 0 THEN 2 ELSE 1 END) AS tenths FROM (SELECT *, {_GRADE} AS gap FROM ({_GRID}) x) y WHERE gap IS NOT NULL")
+# the _all queries count every claim; the SQL of the others reads returned lines of quantity 50 only
+_ALL_CUBE = _CUBE.replace("WHERE l_returnflag = 'R' AND l_quantity > 49 ", "")
+statement("coverage_cube_all", f"SELECT *, least(CAST(1.0 AS DOUBLE), CAST(claims AS DOUBLE) / 20 + CAST(independent AS DOUBLE) / 16) AS score FROM ({_ALL_CUBE}) c")
+for _name, _of in (("gap_grid", _CUBE), ("gap_grid_all", _ALL_CUBE)):
+    statement(_name, f"SELECT region, year, priority, gap, least(10, 4 + CASE WHEN gap = 'EMPTY' THEN 2 ELSE 1 END + CASE WHEN independent = 0 THEN 2 ELSE 1 END) AS tenths FROM (SELECT *, {_GRADE} AS gap FROM ({_grid(_of)}) x) y WHERE gap IS NOT NULL")
 # GP-2: gaps may leave a key open; a union over the patterns of open keys keeps equi-joins
-statement("gap_autoresolve", f"""SELECT DISTINCT region, year FROM (SELECT g.region, g.year FROM (SELECT r_name AS region, 1995 AS year FROM region) g JOIN ({_CUBE}) c ON c.region = g.region AND c.year = g.year WHERE claims >= 2
-  UNION ALL SELECT g.region, CAST(NULL AS INT) FROM (SELECT r_name AS region FROM region) g JOIN ({_CUBE}) c ON c.region = g.region WHERE claims >= 2) u""")
+for _name, _of in (("gap_autoresolve", _CUBE), ("gap_autoresolve_all", _ALL_CUBE)):
+    statement(_name, f"""SELECT DISTINCT region, year FROM (SELECT g.region, g.year FROM (SELECT r_name AS region, 1995 AS year FROM region) g JOIN ({_of}) c ON c.region = g.region AND c.year = g.year WHERE claims >= 2
+  UNION ALL SELECT g.region, CAST(NULL AS INT) FROM (SELECT r_name AS region FROM region) g JOIN ({_of}) c ON c.region = g.region WHERE claims >= 2) u""")
 # AD-4: first failed stage of ten; conflicts compare with the first accepted object of the subject
 _ADMISSION = """SELECT l_orderkey, l_linenumber, CASE WHEN predicate IS NULL THEN 'schema' WHEN p_partkey IS NULL OR s_suppkey IS NULL THEN 'endpoints' WHEN p_size > 45 THEN 'domain_range' WHEN l_quantity < 2 THEN 'quote'
     WHEN l_shipdate IS NULL THEN 'temporal' WHEN n_name IS NULL THEN 'spatial' WHEN o_orderstatus = 'P' THEN 'scope' END AS failed,
