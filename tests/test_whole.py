@@ -64,3 +64,38 @@ def test_pairs_that_trade_are_no_gap(spark):
     n = read("nation")
     want = {(x["n_name"], y["n_name"]) for x in n for y in n if x["n_regionkey"] == y["n_regionkey"] and x["n_name"] < y["n_name"] and frozenset((x["n_nationkey"], y["n_nationkey"])) not in trade}
     assert {(r["a"], r["b"]) for r in run(spark, "symmetric_pair_gap_all")} == want
+
+
+def test_graph_has_all_edges(spark):
+    near = defaultdict(set)
+    for r in read("lineitem"):
+        near[r["l_suppkey"]].add(r["l_partkey"] + 1000000)
+        near[r["l_partkey"] + 1000000].add(r["l_suppkey"])
+    hops, frontier = {1: 0}, {1}
+    for hop in (1, 2, 3):
+        frontier = {y for x in frontier for y in near[x]} - set(hops)
+        hops |= dict.fromkeys(frontier, hop)
+    assert {r["node"]: r["hop"] for r in run(spark, "bfs_neighborhood_all")} == hops
+    root = {}
+    for x in sorted(near):
+        todo = [] if x in root else [x]
+        while todo:
+            y = todo.pop()
+            if y not in root:
+                root[y] = x
+                todo += near[y]
+    assert {r["node"]: r["root"] for r in run(spark, "graph_components")} == root
+
+
+def test_titles_of_all_parts(spark, tmp_path):
+    names = ["red widget", "Red Widgets", "blue bolt", "q", "Q", "zz", None, "red widget"]
+    parts = [(i, n, b, 1 + i % 3) for b, k in (("A", 0), ("B", 100)) for i, n in enumerate(names, k)] + [(900, "red widget", None, 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+
+    def grams(t):
+        x = "".join((t or "").lower().split())
+        return {x[i : i + 2] for i in range(len(x) - 1)} or ({x} if x else set())
+
+    want = {(a, b, len(grams(m) & grams(n)), len(grams(m) | grams(n))) for a, m, x, _ in parts for b, n, y, _ in parts if a < b and x == y and x and grams(m) & grams(n)}
+    got = [tuple(r) for r in run(spark, "title_jaccard_all", str(tmp_path))]
+    assert len(got) == len(set(got)) and set(got) == want
