@@ -67,6 +67,47 @@ def quote_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.where("match = 'EXACT'").distinct()
 
 
+_PIECE = 6
+
+
+def quotes_bound(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, item_id, match (EXACT or NORMALIZED), part of docs(doc_id, text) and quotes(item_id, text).
+
+    ``part`` is the first chunk that has the quote, as written before as normalised, else
+    by its first 16 normalised characters; null where none has, as for quotes across chunks.
+    Quotes and texts meet by the ``_PIECE`` first characters of the quote's bind form, which
+    every text that binds has in its own; quotes of shorter forms bind only EXACT and meet
+    all texts, as a broadcast of those few.
+    """
+    q = quotes.where("text is not null and text <> ''").select("item_id", F.col("text").alias("quote"), text.bind_form(F.col("text")).alias("q_form"))
+    long_, short = q.where(F.length("q_form") >= _PIECE), q.where(F.length("q_form") < _PIECE)
+    d = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", text.bind_form(F.col("text")).alias("form"))
+    heads = long_.select(F.substring("q_form", 1, _PIECE).alias("head")).distinct()
+    met = d.where(F.length("form") >= _PIECE).select("key", "doc_id", F.explode(text.grams(F.col("form"), _PIECE)).alias("head")).join(heads, "head", "left_semi")
+    pairs = met.join(long_.select("item_id", "quote", "q_form", F.substring("q_form", 1, _PIECE).alias("head")), "head").select("key", "doc_id", "item_id", "quote", "q_form").distinct()
+    near = pairs.join(d.select("key", F.col("doc_id").alias("_d"), "text", "form"), "key").where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "form", "item_id", "quote", "q_form")
+    near = near.union(d.select("doc_id", "text", "form").join(F.broadcast(short), F.contains("text", "quote")).select("doc_id", "text", "form", "item_id", "quote", "q_form"))
+    match = F.when(F.contains("text", "quote"), "EXACT").when((F.length("q_form") >= _PIECE) & F.contains("form", "q_form"), "NORMALIZED")
+    bound = near.withColumn("match", match).where("match is not null").withColumn("chunks", text.chunks(F.col("text")))
+
+    def first(has) -> Column:
+        return F.get(F.filter(F.transform("chunks", lambda c, i: F.when(has(c), i)), lambda x: x.isNotNull()), F.lit(0))
+
+    head = F.substring("q_form", 1, 16)
+    part = F.coalesce(
+        first(lambda c: F.contains(c, F.col("quote"))),
+        F.when(F.col("q_form") != "", first(lambda c: F.contains(text.bind_form(c), F.col("q_form")))),
+        F.when(F.length("q_form") >= 16, first(lambda c: F.contains(text.bind_form(c), head))),
+    )
+    return bound.select("doc_id", "item_id", "match", part.alias("part")).distinct()
+
+
+@query("quote_bind_all")
+def quote_bind_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-16, FN-17, FN-21: EXACT and NORMALIZED bindings and their chunk; tested against brute force."""
+    return quotes_bound(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("simhash64")
 def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-9, FN-10: votes of the 64 bits over every distinct piece, tested bit by bit.

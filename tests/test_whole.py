@@ -99,3 +99,31 @@ def test_titles_of_all_parts(spark, tmp_path):
     want = {(a, b, len(grams(m) & grams(n)), len(grams(m) | grams(n))) for a, m, x, _ in parts for b, n, y, _ in parts if a < b and x == y and x and grams(m) & grams(n)}
     got = [tuple(r) for r in run(spark, "title_jaccard_all", str(tmp_path))]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_quotes_bind_with_other_punctuation(spark, tmp_path):
+    from lodestone.plans import texts
+
+    def form(x):
+        import re
+
+        return re.sub(texts.text.SCAN_MARKS, "", re.sub(texts.text.PUNCTUATION, "", x))
+
+    docs = [(1, "The river, rises in spring; and\nfalls in autumn."), (2, "x" * 1190 + " the river rises in spring and falls in autumn"), (3, "no"), (None, "the river  rises in spring"), (4, None), (5, ""), (6, "a. b. c"),
+            (7, "y" * 2500 + "The river, rises in spring"), (1, "the river rises in spring"), (8, "《大江东去》，浪淘尽，千古风流人物"), (9, "ab cde.f"), (10, "so: \U0001f600 a, bright day")]
+    quotes = [(1, "the river rises in spring"), (2, "The river rises in spring"), (3, "a. b"), (4, "ab"), (5, None), (6, ""), (7, "..."), (8, "大江东去浪淘尽"), (9, "abcdef"), (10, "The river, rises in spring"), (None, "no"), (11, "\U0001f600 a bright, day")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(quotes, "item_id long, text string")
+    want = set()
+    for i, t in docs:
+        for k, x in quotes:
+            if not t or not x:
+                continue
+            match = "EXACT" if x in t else "NORMALIZED" if len(form(x)) >= 6 and form(x) in form(t) else None
+            if match:
+                parts = [t[j : j + 1200] for j in range(0, len(t), 1200)]
+                rules = [lambda c: x in c, lambda c: form(x) and form(x) in form(c), lambda c: len(form(x)) >= 16 and form(x)[:16] in form(c)]
+                want.add((i, k, match, next((n for rule in rules for n, c in enumerate(parts) if rule(c)), None)))
+    got = [tuple(r) for r in texts.quotes_bound(d, q).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {m for _, _, m, _ in want} == {"EXACT", "NORMALIZED"}
+    assert {p for i, _, _, p in want if i in (2, 7)} == {None, 2}
