@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_quote_linking": quote_linking.op4_quote_linking,
+        "op4_conversations": quote_linking.op4_conversations,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_token_store": token_store.op6_token_store,
         "op7_warc": warc.op7_warc,

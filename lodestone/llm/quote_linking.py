@@ -6,18 +6,19 @@ of, are normalised (letters and digits, lower case) and hashed, and so are each
 own text and own lines.  A quote's original is the latest earlier message of the
 conversation with the same hash; a message's parent is the original that most of its
 quotes of the lowest level with an original point to (a whole passage counts twice its
-lines), the latest of equals.  Messages of a thread, parents first, follow each other by
-(conv_id, root_turn, turn); quotes and the "... wrote:" lines above them are dropped.
+lines), the latest of equals.  Messages come in reply order: by conversation and thread,
+parents first, a branch whole before the next one, branches by turn; quotes and the
+"... wrote:" lines above them are dropped.
 
 Originals are found by running maxima within blocks of ``BLOCK`` turns of a (conversation,
 hash) and over the blocks' own maxima, so neither a long conversation nor a line said in
-every turn gathers in one task, and no pairs are made.  Roots and depths follow by pointer
-doubling: each round is a join on unique (conv_id, turn).
+every turn gathers in one task, and no pairs are made.  Roots, depths, sizes of branches and
+places follow by pointer doubling: each round is a join on unique (conv_id, turn).
 
 Cases: null and empty texts have no quotes and an empty text; a null role is 'user'.
 Messages without a conversation or turn are roots of their own.  Rows that repeat a
 (conv_id, turn) keep a row each; as a reply's parent such a turn is one message, with the
-latest of its parents.  Quotes without an original are dropped all the same.  Empty tables
+latest of its parents, and its rows share that message's place.  Quotes without an original are dropped all the same.  Empty tables
 give no rows; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stage import staged, table
+from .stage import n_parts, staged, table
 
 BLOCK = 256
 _MARKS = r"^((?:[ \t]*>)+)[ \t]?"
@@ -87,9 +88,9 @@ def parents(rows: DataFrame) -> DataFrame:
     return votes.groupBy("key").agg(F.min_by("parent_turn", F.struct(F.col("level"), -F.col("weight"), -F.col("parent_turn"))).alias("parent_turn"))
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """conv_id, turn, root_turn, depth from edges(conv_id, turn, parent_turn) with unique (conv_id, turn)."""
-    jump = staged(edges.select("conv_id", "turn", F.col("parent_turn").alias("to"), F.lit(1).cast("long").alias("d")), "jump")
+def _roots(edges: DataFrame, step: Column | None = None) -> DataFrame:
+    """conv_id, turn, root_turn, depth (the sum of the steps to the root, 1 each by default) from edges(conv_id, turn, parent_turn) with unique (conv_id, turn)."""
+    jump = staged(edges.select("conv_id", "turn", F.col("parent_turn").alias("to"), (F.lit(1) if step is None else step).cast("long").alias("d")), "jump")
     while True:
         nxt = jump.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
         more = jump.join(nxt, ["conv_id", "to"], "left")
@@ -98,22 +99,49 @@ def _roots(edges: DataFrame) -> DataFrame:
         jump = staged(more.select("conv_id", "turn", F.coalesce("to2", "to").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), "jump")
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, parent_turn, root_turn, depth, n_quoted, text, message of each row.
+def _sizes(edges: DataFrame) -> DataFrame:
+    """conv_id, turn, n of each reply: messages of its branch, itself among them."""
+    state = staged(edges.select("conv_id", "turn", F.col("parent_turn").alias("to"), F.lit(1).cast("long").alias("n")), "sizes")
+    while True:
+        # n counts those less than 2^k below; the ones 2^k below add what they count
+        add = state.where("to is not null").groupBy("conv_id", F.col("to").alias("turn")).agg(F.sum("n").alias("more"))
+        nxt = state.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("to2"))
+        grown = state.join(add, ["conv_id", "turn"], "left").join(nxt, ["conv_id", "to"], "left")
+        state = staged(grown.select("conv_id", "turn", F.col("to2").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "sizes")
+        if not state.where("to is not null").limit(1).count():
+            return state.select("conv_id", "turn", "n")
 
-    ``message`` is the chat form: ``<|role|>``, the text without quotes, ``<|end|>``.
+
+def _places(edges: DataFrame) -> DataFrame:
+    """conv_id, turn, thread (its root), position of each reply: parents first, a branch whole before the next, branches by turn.
+
+    A reply comes after its parent and the branches of the parent's earlier replies; these
+    steps add up on the way to the root.
     """
+    sized = staged(edges.join(_sizes(edges), ["conv_id", "turn"]).withColumn("block", F.floor(F.col("turn") / BLOCK)), "branches")
+    tops = sized.groupBy("conv_id", "parent_turn", "block").agg(F.sum("n").alias("n"))
+    before = tops.withColumn("before", F.sum("n").over(Window.partitionBy("conv_id", "parent_turn").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    inside = F.sum("n").over(Window.partitionBy("conv_id", "parent_turn", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    steps = sized.withColumn("inside", inside).join(before, ["conv_id", "parent_turn", "block"])
+    at = _roots(steps, 1 + F.coalesce("inside", F.lit(0)) + F.coalesce("before", F.lit(0)))
+    return at.select("conv_id", "turn", F.col("root_turn").alias("thread"), F.col("depth").alias("position"))
+
+
+def _named(messages: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with parent_turn, _root, _depth, and the edges of the replies, if there are any."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("conv_id", "turn", "role", "text"))
     own = parents(rows)
     if not own.limit(1).count():
-        named = rows.select("*", *(F.lit(None).cast("long").alias(c) for c in ("parent_turn", "_root", "_depth")))
-    else:
-        own = staged(own, "parents")
-        at = rows.join(own, "key").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("parent_turn"))
-        roots = _roots(staged(at, "edges"))
-        up = roots.select(F.col("conv_id"), F.col("turn").alias("parent_turn"), F.col("root_turn").alias("_root"), (F.col("depth") + 1).alias("_depth"))
-        named = rows.join(own, "key", "left").join(up, ["conv_id", "parent_turn"], "left")
+        return rows.select("*", *(F.lit(None).cast("long").alias(c) for c in ("parent_turn", "_root", "_depth"))), None
+    own = staged(own, "parents")
+    edges = staged(rows.join(own, "key").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("parent_turn")), "edges")
+    roots = _roots(edges)
+    up = roots.select(F.col("conv_id"), F.col("turn").alias("parent_turn"), F.col("root_turn").alias("_root"), (F.col("depth") + 1).alias("_depth"))
+    return rows.join(own, "key", "left").join(up, ["conv_id", "parent_turn"], "left"), edges
+
+
+def _formatted(named: DataFrame, *more: str) -> DataFrame:
     quoted = F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(_QUOTED))).cast("long")
     # of a column made once: Catalyst would evaluate a second copy of the lambdas
     named = named.withColumn("_said", own_text(F.col("text")))
@@ -121,17 +149,40 @@ def linked(messages: DataFrame) -> DataFrame:
     return named.select(
         "conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), "parent_turn", F.coalesce("_root", "parent_turn", "turn").alias("root_turn"),
         F.coalesce("_depth", F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0)).cast("long").alias("depth"), quoted.alias("n_quoted"), said.alias("text"),
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), said, F.lit("\n<|end|>\n")).alias("message"),
+        F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), said, F.lit("\n<|end|>\n")).alias("message"), *more,
     )
 
 
-def in_reply_order(found: DataFrame, parts: int) -> DataFrame:
-    """The linked messages in range partitions of (conv_id, root_turn, turn), ready to be written as files."""
-    return found.repartitionByRange(parts, "conv_id", "root_turn", "turn").sortWithinPartitions("conv_id", "root_turn", "turn")
+def linked(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, parent_turn, root_turn, depth, n_quoted, text, message of each row.
+
+    ``message`` is the chat form: ``<|role|>``, the text without quotes, ``<|end|>``.
+    """
+    return _formatted(_named(messages)[0])
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """The linked rows with ``thread`` and ``position``, in range partitions sorted by (conv_id, thread, position).
+
+    Read in that order, the messages of a thread are its conversation.
+    """
+    named, edges = _named(messages)
+    if edges is None:
+        named = named.withColumns({"thread": F.col("turn"), "position": F.lit(0).cast("long")})
+    else:
+        named = named.join(staged(_places(edges), "places"), ["conv_id", "turn"], "left").withColumns({"thread": F.coalesce("thread", "turn"), "position": F.coalesce("position", F.lit(0))})
+    order = ["conv_id", "thread", "position", "key"]
+    # sorted before quotes are dropped and the chat form is made: only the raw text is sent
+    return _formatted(named.repartitionByRange(n_parts(messages.sparkSession), *order).sortWithinPartitions(*order), "thread", "position")
 
 
 def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "conversations"))
+    """The messages in reply order; its SQL has no column for the place, ``op4_conversations`` has."""
+    return conversations(table(spark, sf_dir, "conversations")).drop("thread", "position")
+
+
+def op4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(table(spark, sf_dir, "conversations"))
 
 
 SQL = r"""

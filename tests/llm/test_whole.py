@@ -1,0 +1,42 @@
+"""Cases the operators once left out."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from lodestone.llm import quote_linking
+
+
+def test_branches_follow_in_reply_order(spark, tmp_path):
+    rng = random.Random(3)
+    parent, rows = {}, []
+    for c in (1, 2):
+        for t in range(40):
+            p = rng.choice([None, *range(t)]) if t > 2 else t - 1 if t else None
+            parent[c, t] = p
+            rows.append((c, t, "user", (f"> said {c} {p} here\n" if p is not None else "") + f"said {c} {t} here"))
+    p = None
+    for t in range(0, 3000, 300):  # a chain over several blocks, and late replies to its first message
+        rows.append((3, t, "user", (f"> three {p} x\n" if p is not None else "") + f"three {t} x"))
+        parent[3, t], p = p, t
+    for t in (2000, 2500):
+        rows.append((3, t, "user", f"> three 0 x\nthree {t} x"))
+        parent[3, t] = 0
+    rows += [(None, 1, "user", "x"), (4, None, "user", "y")]
+
+    def walk(c, t):
+        return [t, *(x for u in sorted(u for d, u in parent if d == c and parent[d, u] == t) for x in walk(c, u))]
+
+    want = [(c, r, x) for c in (1, 2, 3) for r in sorted(t for d, t in parent if d == c and parent[d, t] is None) for x in walk(c, r)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = quote_linking.conversations(df).collect()
+    assert [(r["conv_id"], r["thread"], r["turn"]) for r in got if r["conv_id"] in (1, 2, 3)] == want
+    assert all(r["thread"] == r["root_turn"] for r in got) and len(got) == len(rows)
+    counted = {}
+    for r in got:
+        if r["conv_id"] in (1, 2, 3):
+            assert r["position"] == counted.get((r["conv_id"], r["thread"]), 0)
+            counted[r["conv_id"], r["thread"]] = r["position"] + 1
+    plain = quote_linking.op4_quote_linking(spark, str(tmp_path))
+    assert [(r["conv_id"], r["turn"]) for r in plain.collect() if r["conv_id"] in (1, 2, 3)] == [(c, t) for c, _, t in want]
