@@ -3,7 +3,7 @@
 A line's tokens are its distinct 5-word shingles (fewer words: the words as one token);
 words are lower-cased and cut at ASCII white space.  A later line whose tokens have a
 Jaccard similarity of 75 % or more with any earlier line, in order of (doc_id, line
-number), is removed.
+number; of rows with the same doc_id see below), is removed.
 
 1.  Rarity.  One pass counts tokens in 2**16 hashed cells (a table of fixed size), and a
     second orders each line's tokens by their cell's count, then hash.  The count is part
@@ -18,9 +18,10 @@ number), is removed.
     block inside array expressions, up to the first match, so that no row a pair is made.
 
 Cases: null and empty texts have one line without words; lines without words stay.  Rows
-that repeat a doc_id count as the same document: their equal lines at equal places are
-one.  Rows without a doc_id come first in the order and are one document.  Empty tables
-give no rows; other columns are ignored.
+that repeat a doc_id and its text are one document.  Rows of a doc_id with different texts,
+and rows without a doc_id, are documents of their own, told apart and ordered by a hash of
+the text; rows without a doc_id come first in the order.  Empty tables give no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,10 +55,15 @@ def with_tokens(rows: DataFrame, line: Column) -> DataFrame:
     return hashed.withColumn("tokens", some).drop("_words", "_h")
 
 
+def row(text: Column) -> Column:
+    """Tells rows apart that have no doc_id or the same one."""
+    return F.xxhash64(text.cast("string"))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line of docs(doc_id, text)."""
+    """doc_id, row, line_no (from 0), line of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row(F.col("text")).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
 def _cells(sets: DataFrame) -> Column:
@@ -69,12 +75,12 @@ def _cells(sets: DataFrame) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, n, sid (class of equal sets), prefix; lines without words have n = 0."""
-    sets = with_tokens(lines(docs), F.col("line")).select("doc_id", "line_no", "tokens")
+    """doc_id, row, line_no, n, sid (class of equal sets), prefix; lines without words have n = 0."""
+    sets = with_tokens(lines(docs), F.col("line")).select("doc_id", "row", "line_no", "tokens")
     ranks = _cells(sets)
     key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.element_at(ranks, (t.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int")), 48).bitwiseOR(t.bitwiseAND(F.lit(_LOW)))))
-    keyed = sets.select("doc_id", "line_no", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"), key.alias("key"))
-    return keyed.select("doc_id", "line_no", "n", F.when(F.col("n") > 0, F.xxhash64("key")).alias("sid"), F.slice("key", 1, F.expr("n div 4 + 1")).alias("prefix"))
+    keyed = sets.select("doc_id", "row", "line_no", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"), key.alias("key"))
+    return keyed.select("doc_id", "row", "line_no", "n", F.when(F.col("n") > 0, F.xxhash64("key")).alias("sid"), F.slice("key", 1, F.expr("n div 4 + 1")).alias("prefix"))
 
 
 def _match(a: Column, b: Column) -> Column:
@@ -84,12 +90,12 @@ def _match(a: Column, b: Column) -> Column:
 
 def _fetch(docs: DataFrame, want: DataFrame) -> DataFrame:
     """sid, first, tokens of the classes in want(sid, first)."""
-    want = want.select(F.col("first.doc_id").alias("_d"), F.col("first.line_no").alias("_l"), "sid", "first")
+    want = want.select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"), F.col("first.line_no").alias("_l"), "sid", "first")
     size = want.count()
-    on_doc = want.groupBy("_d").agg(F.collect_list(F.struct("_l", "sid", "first")).alias("wanted"))
+    on_doc = want.groupBy("_d", "_r").agg(F.collect_list(F.struct("_l", "sid", "first")).alias("wanted"))
     on_doc = F.broadcast(on_doc) if size <= BROADCAST_ROWS else on_doc.hint("shuffle_hash")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = d.join(on_doc, d.doc_id.eqNullSafe(on_doc["_d"])).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("cut"), F.explode("wanted").alias("w"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row(F.col("text")).alias("row"))
+    rows = d.join(on_doc, d.doc_id.eqNullSafe(on_doc["_d"]) & (d.row == on_doc["_r"])).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("cut"), F.explode("wanted").alias("w"))
     got = with_tokens(rows.select("w.sid", "w.first", F.get(F.col("cut"), F.col("w._l")).alias("line")), F.col("line"))
     return got.select("sid", "first", "tokens").dropDuplicates(["sid"])
 
@@ -98,7 +104,7 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The keyed lines, and sid, first of each class, with ``gone`` if an earlier class matches it."""
     keyed = staged(_keyed(docs), "lines")
     worded = keyed.where("n > 0")
-    reps = worded.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    reps = worded.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
     # NULL ids sort first in Spark's order of structs
     own = worded.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = own.select("sid", "n", F.posexplode("prefix").alias("p", "token")).repartition("token")
@@ -130,19 +136,23 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, reps.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0, rising)."""
+def _by_row(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_lines, removed (line numbers from 0, rising)."""
     keyed, classes = removed(docs)
     rows = keyed.join(classes, "sid", "left")
-    out = (F.col("n") > 0) & (F.col("gone").isNotNull() | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
-    got = rows.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(out, F.col("line_no")))).alias("removed"))
-    return got.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    out = (F.col("n") > 0) & (F.col("gone").isNotNull() | ~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first")))
+    return rows.groupBy("doc_id", "row").agg(F.countDistinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(out, F.col("line_no")))).alias("removed"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, rising) of each doc_id and text."""
+    return _by_row(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_removed(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, without the removed lines."""
-    found = deduplicated(docs).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(found, docs.doc_id.eqNullSafe(found["_id"]), "left")
+    found = _by_row(docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("removed").alias("_removed"))
+    joined = docs.join(found, docs.doc_id.eqNullSafe(found["_id"]) & (row(docs["text"]) == found["_row"]), "left")
     kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(found["_removed"], i))
     return joined.select(*(F.array_join(kept, "\n").alias("text") if c == "text" else docs[c] for c in docs.columns))
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import quote_linking
+from lodestone.llm import line_dedup, quote_linking
 
 
 def test_branches_follow_in_reply_order(spark, tmp_path):
@@ -40,3 +40,26 @@ def test_branches_follow_in_reply_order(spark, tmp_path):
             counted[r["conv_id"], r["thread"]] = r["position"] + 1
     plain = quote_linking.op4_quote_linking(spark, str(tmp_path))
     assert [(r["conv_id"], r["turn"]) for r in plain.collect() if r["conv_id"] in (1, 2, 3)] == [(c, t) for c, _, t in want]
+
+
+def test_lines_of_rows_without_their_own_id(spark):
+    base = [f"w{i}" for i in range(30)]
+    near, far = " ".join([*base[:29], "z"]), " ".join(f"v{i}" for i in range(30))
+    docs = [(None, far + "\nclean one"), (None, " ".join(base) + "\nclean two"), (None, None), (None, ""), (5, near + "\n" + far + "\nkept"), (7, "same id\n" + far + " more"), (7, "other text\n" + near), (8, "x\nx"), (8, "x\nx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashes = [r[0] for r in df.select(line_dedup.row(F.col("text"))).collect()]
+    every = []
+    for (d, t), h in set(zip(docs, hashes, strict=True)):
+        for n, line in enumerate((t or "").split("\n")):
+            w = line.split()
+            every.append(((d is not None, d or 0, h, n), (d, t), {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    every.sort(key=lambda x: x[0])
+    want = {x: [] for x in docs}
+    for k, (at, x, s) in enumerate(every):
+        if s and any(y and 100 * len(s & y) >= 75 * len(s | y) for _, _, y in every[:k]):
+            want[x].append(at[-1])
+    assert want[5, docs[4][1]] == [0, 1] and want[docs[0]] == want[docs[1]] == []
+    got = sorted(((r["doc_id"], r["removed"]) for r in line_dedup.deduplicated(df).collect()), key=repr)
+    assert got == sorted(((d, v) for (d, _), v in want.items()), key=repr)
+    kept = sorted(((d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d, t])) for d, t in docs), key=repr)
+    assert sorted((tuple(r) for r in line_dedup.without_removed(df).collect()), key=repr) == kept
