@@ -12,6 +12,9 @@
     iteration is one pass of sums over (tokens, posteriors); rates are never stored
     between passes, and the driver holds K numbers a step.
 
+All known domains take part.  A document holds K posteriors and a pass sums K * K numbers
+a task, so the cost grows with the square of the number of domains.
+
 Cases: null and empty texts have no words: their posteriors are the classifier's prior
 and they weigh nothing.  Without known domains there is one domain, and all rates are 1.
 A domain without tokens has no target.  Repeated rows are rated alike; an empty table
@@ -32,7 +35,6 @@ from .stage import staged, table
 
 LABELLED = 8_000
 HASHED = 1 << 12
-DOMAINS_MOST = 64
 STEPS = 60
 TOLERANCE = 1e-4
 
@@ -60,24 +62,27 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.array([x == k for x in names])
                 total[k] = total.get(k, 0) + np.bincount(word[own[doc]], minlength=HASHED)
     for k, v in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k] * HASHED), pa.array(np.arange(HASHED)), pa.array(v.astype(np.int64))], names=["domain", "word", "n"])
+        has = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(has), pa.string()), pa.array(has.astype(np.int64)), pa.array(v[has].astype(np.int64))], names=["domain", "word", "n"])
 
 
 def classifier(docs: DataFrame, domain: Column, most: int = LABELLED) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, log weights (word x domain) and log priors of a multinomial model of words."""
     known = docs.where(domain.isNotNull()).select("text", domain.cast("string").alias("domain"), F.xxhash64("doc_id", "text").alias("h"))
-    counted = known.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(DOMAINS_MOST).collect()
+    counted = known.groupBy("domain").agg(F.count("*").alias("n")).collect()
     if not counted:
         return ["all"], np.zeros((HASHED, 1)), np.zeros(1)
     names = sorted(r["domain"] for r in counted)
     total = sum(r["n"] for r in counted)
     # hashes are spread over all 64-bit integers, so a threshold gives about ``most`` rows without a sort
     limit = min(2**63 - 1, int(min(1.0, most / total) * 2**64) - 2**63)
-    t = known.where(F.col("domain").isin(names) & (F.col("h") <= F.lit(limit))).select("text", "domain").mapInArrow(_totals, "domain string, word long, n long")
+    t = known.where(F.col("h") <= F.lit(limit)).select("text", "domain").mapInArrow(_totals, "domain string, word long, n long")
     c = np.ones((HASHED, len(names))) * 0.5
+    place = {k: i for i, k in enumerate(names)}
     for r in t.groupBy("domain", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        c[r["word"], names.index(r["domain"])] += r["n"]
-    prior = np.array([next(r["n"] for r in counted if r["domain"] == k) for k in names], float)
+        c[r["word"], place[r["domain"]]] += r["n"]
+    rows = {r["domain"]: r["n"] for r in counted}
+    prior = np.array([rows[k] for k in names], float)
     return names, np.log(c / c.sum(0)), np.log(prior / prior.sum())
 
 
@@ -96,6 +101,22 @@ def _posteriors(model):
     return f
 
 
+def _sums(k: int):
+    """Of a task, sums of rate x tokens x posterior at domain, and of tokens x the posteriors' products where the rate is above 0."""
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, a = np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            n, r = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(2).to_numpy(zero_copy_only=False)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
+            t += (r * n) @ p
+            a += (p * np.where(r > 0, n, 0.0)[:, None]).T @ p
+        every = np.concatenate([t, a.ravel()])
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(every[some])], names=["place", "v"])
+
+    return f
+
+
 def _dot(step: np.ndarray) -> Column:
     return sum((F.col("p")[k] * F.lit(float(v)) for k, v in enumerate(step)), F.lit(0.0))
 
@@ -122,14 +143,13 @@ def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | Non
     names = model[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(model)), "doc_id long, n_tokens long, p array<double>"), "posteriors")
-    ks = range(len(names))
+    k = len(names)
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        r = rows.select("n_tokens", "p", _rate(steps).alias("r")).agg(
-            *(F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[k]).alias(f"t{k}") for k in ks),
-            *(F.sum(F.when(F.col("r") > 0, F.col("n_tokens") * F.col("p")[i] * F.col("p")[k]).otherwise(0.0)).alias(f"a{i}_{k}") for i in ks for k in ks),
-        ).first()
-        return np.array([r[f"t{k}"] or 0.0 for k in ks]), np.array([[r[f"a{i}_{k}"] or 0.0 for k in ks] for i in ks])
+        sums = np.zeros(k + k * k)
+        parts = rows.select("n_tokens", "p", _rate(steps).alias("r")).mapInArrow(_sums(k), "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+        sums[parts.column("place").to_numpy()] = parts.column("v").to_numpy()
+        return sums[:k], sums[k:].reshape(k, k)
 
     natural, curve = totals([])
     target = targets_of(natural, None if weights is None else np.array([weights.get(n, 0.0) for n in names]), repeat)

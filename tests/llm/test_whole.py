@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, quote_linking
+from lodestone.llm import line_dedup, mixing, quote_linking
 
 
 def test_branches_follow_in_reply_order(spark, tmp_path):
@@ -63,3 +64,12 @@ def test_lines_of_rows_without_their_own_id(spark):
     assert got == sorted(((d, v) for (d, _), v in want.items()), key=repr)
     kept = sorted(((d, t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d, t])) for d, t in docs), key=repr)
     assert sorted((tuple(r) for r in line_dedup.without_removed(df).collect()), key=repr) == kept
+
+
+def test_mixing_has_all_domains(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"d{i % 80}w{j}" for j in range(12)), f"l{i % 80}") for i in range(320)], "doc_id long, text string, lang string")
+    out, report = mixing.rates(docs)
+    assert len(report["domains"]) == 80 and (report["target"] > 0).all()
+    assert abs(report["reached"] - report["target"]).max() <= 0.001 * report["target"].max()
+    best = {r["doc_id"]: report["domains"][int(np.argmax(r["p"]))] for r in out.select("doc_id", "p").collect()}
+    assert sum(best[i] == f"l{i % 80}" for i in best) >= 0.9 * len(best)
