@@ -22,7 +22,7 @@ The items travel to every executor; above ``ITEM_WORDS`` words they are taken in
 passes.  Everything runs where the text is read: no shuffle of texts, and only leaks leave.
 
 Cases: null or empty texts and items leak nothing; items of fewer than ``MIN_WORDS`` words
-are left out (they occur by chance).  Items with the same words each give their own rows.
+leak by exact copies only, which are searched in every document.  Items with the same words each give their own rows.
 Rows that repeat a doc_id are searched each; a pair is reported once, with the least
 distance, then the earliest start.  Rows with a null doc_id are reported under null.  An
 empty table or benchmark gives no rows.
@@ -99,12 +99,29 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return K.mix(words[:-1] * K.U(3) + words[1:])
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    m = max(0, len(words) - n + 1)
+    out = words[:m]
+    for i in range(1, n):
+        out = K.mix(out * K.U(31) + words[i : m + i])
+    return out
+
+
 class Index:
     """Items, the filter of their word pairs, and LSH tables by item size."""
 
     def __init__(self, ids: list[int | None], words: list[np.ndarray], seed: int = 7):
         self.ids = [i for i, w in zip(ids, words, strict=True) if len(w) >= MIN_WORDS]
         self.words = [w for w in words if len(w) >= MIN_WORDS]
+        self.short_ids = [i for i, w in zip(ids, words, strict=True) if 0 < len(w) < MIN_WORDS]
+        self.short_words = [w for w in words if 0 < len(w) < MIN_WORDS]
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(w) for w in self.short_words}):
+            own = np.array([k for k, w in enumerate(self.short_words) if len(w) == n])
+            key = np.concatenate([run_hashes(self.short_words[k], n) for k in own])
+            order = np.argsort(key, kind="stable")
+            self.short[n] = key[order], own[order]
         self.mask, self.tables = self._fit(seed) if self.words else (1, 0)
         self.pairs = np.unique(np.concatenate([pair_hashes(w) for w in self.words])) if self.words else np.zeros(0, K.U)
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -194,11 +211,27 @@ class Index:
         """Documents that the filter of all items together leaves."""
         if len(words) < 2 or not self.words:
             return np.zeros(0, np.int64)
-        least, most = min(self.sizes), max(self.sizes)
+        # the bound isn't monotone in n: 15 words need 8 pairs, 16 words 7
+        least, most = min(n - 1 - 2 * (n // 4) for n in self.sizes), max(self.sizes)
         end = np.repeat(first[1:], np.diff(first))
-        at = self._windows(self._places(words, first) < len(self.pairs), end, least - 1 - 2 * (least // 4), most + most // 4)
+        at = self._windows(self._places(words, first) < len(self.pairs), end, least, most + most // 4)
         return np.unique(np.searchsorted(first, at, "right") - 1)
 
+    def short_leaks(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, short item, start, words) of exact copies, the earliest in each document."""
+        for n, (keys, own) in self.short.items():
+            h = run_hashes(words, n)
+            seen: set[tuple[int, int]] = set()
+            for p in np.flatnonzero(_member(h, keys)).tolist():
+                d = int(np.searchsorted(first, p, "right")) - 1
+                if p + n > first[d + 1]:
+                    continue
+                for j in range(int(np.searchsorted(keys, h[p])), int(np.searchsorted(keys, h[p], "right"))):
+                    k = int(own[j])
+                    if (d, k) not in seen and np.array_equal(self.short_words[k], words[p : p + n]):
+                        seen.add((d, k))
+                        yield d, k, p - int(first[d]), n
+
     def leaks(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, distance, start, words) for the documents words[first[i] : first[i + 1]]."""
         if len(words) < 2 or not self.words:
@@ -282,6 +315,13 @@ def _search(index):
             for lo, _, raw, offs in K.pieces(batch.column(1)):
                 w = K.Words(raw, offs, K.LOWER, K.NOT_ALNUM)
                 h = w.hashes
+                short = list(ix.short_leaks(h, w.first))
+                if short:
+                    d, item, start, n = zip(*short, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(0)[lo + x].as_py() for x in d], pa.int64()), pa.array([ix.short_ids[k] for k in item], pa.int64()), pa.array([0] * len(d), pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32())],
+                        names=["doc_id", "item_id", "distance", "start_word", "n_words"],
+                    )
                 for d in ix.suspects(h, w.first).tolist():
                     names.append(batch.column(0)[lo + d].as_py())
                     held.append(h[w.first[d] : w.first[d + 1]].copy())

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, mixing, quote_linking
+from lodestone.llm import decontaminate, line_dedup, mixing, quote_linking
 
 
 def test_branches_follow_in_reply_order(spark, tmp_path):
@@ -66,6 +67,21 @@ def test_lines_of_rows_without_their_own_id(spark):
     assert sorted((tuple(r) for r in line_dedup.without_removed(df).collect()), key=repr) == kept
 
 
+def test_filter_keeps_what_each_item_size_may_leak():
+    long_, short = [f"a{i}" for i in range(16)], [f"b{i}" for i in range(15)]
+    copy = [f"x{i}" if i in (2, 6, 10, 13) else w for i, w in enumerate(long_)]
+    words = decontaminate.item_words(pa.array([" ".join(x) for x in (long_, short, copy)]))
+    index = decontaminate.Index([1, 2], words[:2])
+    assert index.suspects(words[2], np.array([0, 16])).tolist() == [0]
+
+
+def test_short_items_leak_by_exact_copies(spark):
+    docs = spark.createDataFrame([(1, "it is a Short, item here; a short item"), (2, "a short"), (3, "item"), (4, "one"), (None, "so one"), (5, None), (6, "a b c d e f g"), (7, "a b c d x f g")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a short item"), (2, "One"), (3, "a b c d e f g"), (4, "item a"), (5, "")], "item_id long, text string")
+    want = {(1, 1, 0, 2, 3), (4, 2, 0, 0, 1), (None, 2, 0, 1, 1), (6, 3, 0, 0, 7)}
+    assert {tuple(r) for r in decontaminate.leaks(docs, bench).collect()} == want
+
+
 def test_mixing_has_all_domains(spark):
     docs = spark.createDataFrame([(i, " ".join(f"d{i % 80}w{j}" for j in range(12)), f"l{i % 80}") for i in range(320)], "doc_id long, text string, lang string")
     out, report = mixing.rates(docs)
