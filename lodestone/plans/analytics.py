@@ -39,7 +39,7 @@ def bfs_neighborhood_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_components")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-10 over all part-supplier edges; tested against union-find. Of DD-4 only the components."""
+    """RT-10 over all part-supplier edges; tested against union-find."""
     return graph.components(_all_edges(spark, sf_dir))
 
 
@@ -57,7 +57,7 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBL
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT a, b, r FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS r FROM p) x WHERE r <= 3""")
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-15, WN-5: a stated query set (ids divisible by 100) against all vectors of its label."""
+    """FN-15: a stated query set (ids divisible by 100) against all vectors of its label."""
     v = table(spark, sf_dir, "embeddings")
     a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
     p = v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")).join(a, "label").where("a <> b")
@@ -67,7 +67,7 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mmr_select")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN-7, RT-6, RT-7: the 64 best of each seed (label), then the greedy choice; tested against brute force."""
+    """RT-7: the 64 best of each seed (label), then the greedy choice; tested against brute force."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("seed"), F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("cluster"), F.round(F.abs(F.col("embedding")[0].cast("double")), 6).alias("score"), F.col("embedding").alias("v"))
     best = v.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where("r <= 64").drop("r")
     return retrieval.mmr(best)

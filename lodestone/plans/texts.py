@@ -127,7 +127,7 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("near_dup_pairs")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-11, JN-17, DD-2: pairs within 6 bits; of 7 bands one is equal (pigeonhole), so candidates are exact.
+    """FN-11, JN-17: pairs within 6 bits; of 7 bands one is equal (pigeonhole), so candidates are exact.
 
     Documents with the same simhash are one class and are not paired with each other.
     """
