@@ -1,21 +1,22 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its distinct 5-word shingles (fewer words: the words as one token);
-words are lower-cased and cut at ASCII white space.  A later line whose tokens have a
-Jaccard similarity of 75 % or more with any earlier line, in order of (doc_id, line
-number; of rows with the same doc_id see below), is removed.
-
-1.  Rarity.  One pass counts tokens in 2**16 hashed cells (a table of fixed size), and a
-    second orders each line's tokens by their cell's count, then hash.  The count is part
-    of the token's 64-bit key, so the order is the keys' own.
-2.  Equal sets are one class, represented by its first line; all its later lines go.
-3.  Prefix filter: lines that match share one of their first n // 4 + 1 tokens.  Lists of
-    up to ``SMALL`` classes give pairs under the length filter (4 min >= 3 max) and the
-    positional filter (at positions p, q at most min(p, q) + min(n - p, m - q) tokens are
-    common); pairs are verified on whole sets.
-4.  A longer list hands its members to the group of its smallest class, in blocks of about
-    ``BLOCK`` members; each member of a block is compared with the earlier members of each
-    block inside array expressions, up to the first match, so that no row a pair is made.
+A line's tokens are its distinct words (lower-cased, cut at ASCII white space).  A later line
+whose tokens have a Jaccard similarity of 75 % or more with any earlier line, in order of
+(doc_id, line number; of rows with the same doc_id see below), is removed.
+
+1.  Rarity.  One pass counts words in 2**18 hashed cells (a table of fixed size); a line's
+    tokens are ordered by their cell's count, in quarters of a power of 2, then by hash.
+2.  Equal lines are one class of two 64-bit hashes, represented by its first line.
+3.  Leaders.  Classes that agree in the least or greatest token hash with more than ``SMALL``
+    others are compared with the first class of these.  Most of a large group of near copies
+    is removed here by a comparison or two a line.  A removed class is no longer asked for.
+4.  Prefix, positional and length filters.  Of two lines of n <= m tokens that match, the
+    first n - ceil(6 n / 7) + 1 tokens of one and m - ceil(3 m / 4) + 1 of the other share a
+    token.  At positions p, q at most min(p, q) + min(n - p, m - q) tokens are common.  Lists of
+    frequent tokens are split by powers of 2 of the length, and those of very frequent ones
+    again, so that removed classes never meet each other.  The difference of two 64-bit
+    signatures bounds the symmetric difference from below and spares most comparisons.
+5.  Pairs are verified on the lines' words themselves.
 
 Cases: null and empty texts have one line without words; lines without words stay.  Rows
 that repeat a doc_id and its text are one document.  Rows of a doc_id with different texts,
@@ -29,30 +30,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stage import staged, table
+from .stage import release, staged, table
 
-CELLS = 1 << 16
+CELLS = 1 << 18
 SMALL = 16
-BLOCK = 128
+#: Lists of tokens that are counted so often are split by length, and by whether classes are removed.
+OFTEN = 64
+VERY_OFTEN = 4096
+#: Postings of one partition of the join.
+PART = 1 << 20
 #: Up to this many candidate lines (32 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+_SPACE = r"[\x20\x09-\x0D]+"
 _LOW = (1 << 48) - 1
 
 
 def words(line: Column) -> Column:
-    return F.split(F.regexp_replace(F.lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-
-
-def with_tokens(rows: DataFrame, line: Column) -> DataFrame:
-    """The rows with ``tokens``: a line's distinct shingle hashes; null for a line without words.
-
-    Words and their hashes are columns of their own, so that no lambda makes them again.
-    """
-    hashed = rows.withColumn("_words", words(line)).withColumn("_h", F.transform("_words", lambda x: F.xxhash64(x)))
-    n = F.size("_h")
-    five = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(5))))
-    some = F.when(n >= 5, F.array_distinct(five)).when((n > 1) | (F.col("_words")[0] != ""), F.array(F.xxhash64(n, F.col("_h"))))
-    return hashed.withColumn("tokens", some).drop("_words", "_h")
+    return F.array_remove(F.split(F.lower(line), _SPACE), "")
 
 
 def row(text: Column) -> Column:
@@ -61,87 +55,139 @@ def row(text: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row, line_no (from 0), line of docs(doc_id, text)."""
+    """doc_id, row, line_no (from 0), line, and the class (id, id2) of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row(F.col("text")).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-
-
-def _cells(sets: DataFrame) -> Column:
-    """The counts' logarithms (in quarters of a power of 2) of all cells, as one folded array."""
-    # explode_outer: for explode, Catalyst would filter by a second copy of the tokens' expression
-    found = {r["cell"]: r["n"] for r in sets.select(F.explode_outer("tokens").alias("t")).groupBy((F.col("t").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("cell")).agg(F.count("*").alias("n")).collect()}
-    ranks = ",".join(str(int(4 * max(found.get(c, 1), 1).bit_length() + (found.get(c, 1) * 4 >> max(found.get(c, 1), 1).bit_length()))) for c in range(CELLS))
-    return F.split(F.lit(ranks), ",").cast("array<bigint>")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row, line_no, n, sid (class of equal sets), prefix; lines without words have n = 0."""
-    sets = with_tokens(lines(docs), F.col("line")).select("doc_id", "row", "line_no", "tokens")
-    ranks = _cells(sets)
-    key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.element_at(ranks, (t.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int")), 48).bitwiseOR(t.bitwiseAND(F.lit(_LOW)))))
-    keyed = sets.select("doc_id", "row", "line_no", F.coalesce(F.size("tokens"), F.lit(0)).alias("n"), key.alias("key"))
-    return keyed.select("doc_id", "row", "line_no", "n", F.when(F.col("n") > 0, F.xxhash64("key")).alias("sid"), F.slice("key", 1, F.expr("n div 4 + 1")).alias("prefix"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row(F.col("text")).alias("row"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    return cut.select("*", F.xxhash64("line").alias("id"), F.xxhash64(F.lit("second"), "line").alias("id2"))
+
+
+def _rank(count: int) -> int:
+    """The count's logarithm in quarters of a power of 2."""
+    n = max(count, 1)
+    return 4 * n.bit_length() + (n * 4 >> n.bit_length())
+
+
+def _cells(docs: DataFrame) -> Column:
+    """The ranks of all cells, as one folded array."""
+    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    said = docs.select(F.explode(words(F.col("text").cast("string"))).alias("w"))
+    found = said.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    ranks = [_rank(0)] * CELLS
+    for c, n in zip(found.column("cell").to_pylist(), found.column("n").to_pylist(), strict=True):
+        ranks[c] = _rank(n)
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """id, id2, first (doc_id, row, line_no), n, bits, least, greatest, prefix of each class of equal lines with words."""
+    cells = _cells(docs)
+    said = lines(docs).withColumn("words", words(F.col("line"))).where(F.size("words") > 0)
+    hashed = said.withColumn("tokens", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
+    n = F.size("tokens")
+    rank = lambda t: F.element_at(cells, (t.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int")).cast("long")
+    key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(rank(t), 48).bitwiseOR(F.shiftrightunsigned(t, 16))))
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 58).cast("int"))))
+    rest = hashed.select("id", "id2", F.struct("doc_id", "row", "line_no").alias("first"), n.alias("n"), bits.alias("bits"), F.array_min("tokens").alias("least"), F.array_max("tokens").alias("greatest"), F.slice(key, 1, F.floor(n / 4).cast("int") + 1).alias("prefix"))
+    one = rest.groupBy("id", "id2").agg(F.min(F.struct("first", "n", "bits", "least", "greatest", "prefix")).alias("x"))
+    return one.select("id", "id2", "x.*")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, id2 of the later class of each pair (a, b of ids) that matches, by the words of its lines."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    want = staged(classes.select("id", "id2", "first").join(ids, "id", "left_semi").select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"), F.col("first.line_no").alias("_l"), "id", "id2", "first"), "wanted")
+    on_doc = want.groupBy("_d", "_r").agg(F.collect_list(F.struct("_l", "id", "id2", "first")).alias("wanted"))
+    on_doc = F.broadcast(on_doc) if want.count() <= BROADCAST_ROWS else on_doc.hint("shuffle_hash")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row(F.col("text")).alias("row"))
+    rows = d.join(on_doc, d.doc_id.eqNullSafe(on_doc["_d"]) & (d.row == on_doc["_r"])).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("cut"), F.explode("wanted").alias("w"))
+    sets = rows.select("w.id", "w.id2", "w.first", F.array_distinct(words(F.get(F.col("cut"), F.col("w._l")))).alias("words"))
+    sets = staged(sets.dropDuplicates(["id", "id2"]), "sets")
 
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("id").alias(x), F.struct("id", "id2").alias(f"{x}_id"), F.col("first").alias(f"{x}_first"), F.col("words").alias(f"{x}_words"))
 
-def _match(a: Column, b: Column) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return 100 * common >= 75 * (F.size(a) + F.size(b) - common)
+    common = F.size(F.array_intersect("a_words", "b_words"))
+    hit = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= 75 * (F.size("a_words") + F.size("b_words") - common))
+    later = staged(hit.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a_id")).otherwise(F.col("b_id")).alias("x")).select("x.*").distinct(), "later")
+    release(want, sets)
+    return later
 
 
-def _fetch(docs: DataFrame, want: DataFrame) -> DataFrame:
-    """sid, first, tokens of the classes in want(sid, first)."""
-    want = want.select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r"), F.col("first.line_no").alias("_l"), "sid", "first")
-    size = want.count()
-    on_doc = want.groupBy("_d", "_r").agg(F.collect_list(F.struct("_l", "sid", "first")).alias("wanted"))
-    on_doc = F.broadcast(on_doc) if size <= BROADCAST_ROWS else on_doc.hint("shuffle_hash")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row(F.col("text")).alias("row"))
-    rows = d.join(on_doc, d.doc_id.eqNullSafe(on_doc["_d"]) & (d.row == on_doc["_r"])).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("cut"), F.explode("wanted").alias("w"))
-    got = with_tokens(rows.select("w.sid", "w.first", F.get(F.col("cut"), F.col("w._l")).alias("line")), F.col("line"))
-    return got.select("sid", "first", "tokens").dropDuplicates(["sid"])
-
-
-def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed lines, and sid, first of each class, with ``gone`` if an earlier class matches it."""
-    keyed = staged(_keyed(docs), "lines")
-    worded = keyed.where("n > 0")
-    reps = worded.groupBy("sid").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("first"))
-    # NULL ids sort first in Spark's order of structs
-    own = worded.groupBy("sid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = own.select("sid", "n", F.posexplode("prefix").alias("p", "token")).repartition("token")
-    listed = postings.groupBy("token").agg(F.count("*").alias("c"), F.min("sid").alias("hub")).where("c > 1")
-    shared = staged(postings.join(listed.hint("shuffle_hash"), "token"), "shared")
-    small = shared.where(F.col("c") <= SMALL).select("token", "sid", "n", "p")
-    a, b = small.alias("a"), small.alias("b")
-    room = F.least("a.p", "b.p") + F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
-    length = 4 * F.least("a.n", "b.n") >= 3 * F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & length & (7 * room >= 3 * (F.col("a.n") + F.col("b.n"))))
-    pairs = staged(pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct(), "pairs")
-    members = staged(shared.where(F.col("c") > SMALL).select("sid", "hub").distinct(), "members")
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(members.select("sid")).distinct()
-    sets = staged(_fetch(docs, reps.join(ids, "sid", "left_semi")), "sets")
+def _led(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, id2 of the classes that match the first of a large group of agreeing ones."""
+    keyed = classes.select(F.explode(F.array("least", F.xxhash64("greatest"))).alias("key"), "first", "id", "n", "bits")
+    led = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("first", "id", "n", "bits")).alias("x")).where(F.col("c") > SMALL)
+    led = led.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("m"), F.col("x.bits").alias("m_bits"))
+    near = (F.col("id") != F.col("a")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * F.bit_count(F.col("bits").bitwiseXOR(F.col("m_bits"))) <= F.col("n") + F.col("m"))
+    pairs = staged(keyed.join(led, "key").where(near).select("a", F.col("id").alias("b")).distinct(), "led")
+    later = _verified(docs, classes, pairs)
+    release(pairs)
+    return later
 
-    def side(x: str) -> DataFrame:
-        return sets.select(F.col("sid").alias(x), F.col("first").alias(f"{x}_first"), F.col("tokens").alias(f"{x}_tokens"))
 
-    hit = pairs.join(side("a"), "a").join(side("b"), "b").where(_match(F.col("a_tokens"), F.col("b_tokens")))
-    gone = hit.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("sid"))
+def _postings(classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """key, id, bits, n, p, short, long, open: prefix tokens of all classes, dealt by key.
 
-    count = members.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
-    placed = members.join(count, "hub").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).join(sets, "sid")
-    blocks = staged(placed.groupBy("hub", "block").agg(F.first("blocks").alias("blocks"), F.sort_array(F.collect_list(F.struct("first", "sid", "tokens"))).alias("m")), "blocks")
-    against = blocks.select("hub", F.col("block").alias("other"), F.col("m").alias("earlier"))
-    both = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(against, ["hub", "other"])
-    found = F.filter("m", lambda x: F.exists("earlier", lambda y: (y["first"] < x["first"]) & (4 * F.size(y["tokens"]) >= 3 * F.size(x["tokens"])) & (3 * F.size(y["tokens"]) <= 4 * F.size(x["tokens"])) & _match(x["tokens"], y["tokens"])))
-    gone = gone.union(both.select(F.explode(F.transform(found, lambda x: x["sid"])).alias("sid"))).distinct()
-    return keyed, reps.join(gone.withColumn("gone", F.lit(True)), "sid", "left")
+    short, long: whether the entry takes part as the shorter or as the longer line.
+    open: whether the class isn't removed yet.
+    """
+    gone = gone.select("id", "id2", F.lit(False).alias("open"))
+    every = classes.select("id", "id2", "n", "bits", "prefix").join(gone, ["id", "id2"], "left").select("id", "n", "bits", F.coalesce("open", F.lit(True)).alias("open"), F.posexplode("prefix").alias("p", "token"))
+    n, short, open_, token = F.col("n"), F.col("p") <= F.col("n") - F.ceil(6 * F.col("n") / 7), F.col("open"), F.col("token")
+    rank, band = F.shiftright(token, 48), lambda x: F.length(F.bin(x))
+    own, next_ = band(n), band(F.floor(4 * n / 3))
+
+    def entry(key: Column, as_short: Column, as_long: Column) -> Column:
+        return F.struct(key.alias("key"), as_short.alias("short"), as_long.alias("long"))
+
+    yes, no = F.lit(True), F.lit(False)
+    at = lambda *x: F.xxhash64(token, *x)
+    plain = F.array(entry(at(), short, yes))
+    often = F.when(short & (own != next_), F.array(entry(at(own), yes, yes), entry(at(next_), yes, no))).otherwise(F.array(entry(at(own), short, yes)))
+    # lists of open classes as the longer lines, met by all, and of removed ones, met by open ones
+    lists = F.array(*(F.struct(b.alias("b"), F.lit(o).alias("o"), (short & (open_ if not o else yes) & (yes if b is own else own != next_)).alias("s"), ((open_ == F.lit(o)) & F.lit(b is own)).alias("l")) for b in (own, next_) for o in (True, False)))
+    very = F.transform(F.filter(lists, lambda x: x["s"] | x["l"]), lambda x: entry(at(x["b"], x["o"]), x["s"], x["l"]))
+    entries = F.when(rank < _rank(OFTEN), plain).when(rank < _rank(VERY_OFTEN), often).otherwise(very)
+    out = every.select("id", "bits", "n", "p", "open", F.explode(entries).alias("e"))
+    packed = F.col("n").cast("long") + F.shiftleft(F.col("p").cast("long"), 28) + F.shiftleft(F.col("e.short").cast("long"), 56) + F.shiftleft(F.col("e.long").cast("long"), 57) + F.shiftleft(F.col("open").cast("long"), 58)
+    return out.select("e.key", "id", "bits", packed.alias("packed"))
+
+
+def _pairs(postings: DataFrame) -> DataFrame:
+    """a, b: ids of classes that pass the filters, one of them open at least."""
+    x, y = postings.alias("x"), postings.alias("y")
+    part = lambda side, at, mask: F.shiftright(F.col(f"{side}.packed"), at).bitwiseAND(F.lit(mask))
+    low = (1 << 28) - 1
+    n, m, p, q = part("x", 0, low), part("y", 0, low), part("x", 28, low), part("y", 28, low)
+    # sides are told apart in conditions on both only, so that they stay one exchange
+    flags = F.shiftright(F.col("x.packed"), 56).bitwiseAND(F.lit(1)) + F.shiftright(F.col("y.packed"), 57).bitwiseAND(F.lit(1)) == 2
+    some_open = F.col("x.packed").bitwiseOR(F.col("y.packed")) >= F.lit(1 << 58)
+    order = (n < m) | ((n == m) & (F.col("x.id") < F.col("y.id")))
+    room = F.least(p, q) + F.least(n - p, m - q)
+    near = 7 * F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= n + m
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & flags & order & near & (4 * n >= 3 * m) & some_open & (7 * room >= 3 * (n + m)))
+    return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """id, id2, first of each class of lines, with ``gone`` if an earlier class matches it."""
+    classes = staged(_classes(docs), "classes")
+    led = _led(docs, classes)
+    total = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    parts = max(12, -(-total // PART))
+    pairs = staged(_pairs(_postings(classes, led).repartition(parts, "key")), "pairs")
+    gone = led.union(_verified(docs, classes, pairs)).distinct().withColumn("gone", F.lit(True))
+    out = staged(classes.select("id", "id2", "first").join(gone, ["id", "id2"], "left"), "removed")
+    release(classes, led, pairs)
+    return out
 
 
 def _by_row(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_lines, removed (line numbers from 0, rising)."""
-    keyed, classes = removed(docs)
-    rows = keyed.join(classes, "sid", "left")
-    out = (F.col("n") > 0) & (F.col("gone").isNotNull() | ~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first")))
-    return rows.groupBy("doc_id", "row").agg(F.countDistinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(out, F.col("line_no")))).alias("removed"))
+    classes = removed(docs).select("id", "id2", "first", "gone")
+    rows = lines(docs).select("doc_id", "row", "line_no", "id", "id2").join(classes, ["id", "id2"], "left")
+    out = F.col("gone") | (F.col("first").isNotNull() & ~F.struct("doc_id", "row", "line_no").eqNullSafe(F.col("first")))
+    return rows.groupBy("doc_id", "row").agg((F.max("line_no") + 1).cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(out, F.col("line_no")))).alias("removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -164,18 +210,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-w AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words FROM l),
-k AS (SELECT doc_id, line_no, words, array_to_string(words, ' ') AS norm FROM w),
-u AS (SELECT norm, any_value(words) AS words, min((doc_id, line_no)) AS first FROM k WHERE norm <> '' GROUP BY norm),
-t AS (SELECT norm, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM u WHERE len(words) >= 5),
-g AS (SELECT norm, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS gram FROM t WINDOW o AS (PARTITION BY norm ORDER BY i)),
-e AS (SELECT DISTINCT norm, gram FROM g WHERE gram IS NOT NULL UNION ALL SELECT norm, norm FROM u WHERE len(words) < 5),
-s AS (SELECT norm, count(*) AS n FROM e GROUP BY norm),
-o AS (SELECT a.norm AS a, b.norm AS b, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.norm < b.norm GROUP BY 1, 2),
-m AS (SELECT a, b FROM o JOIN s x ON x.norm = a JOIN s y ON y.norm = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
-d AS (SELECT DISTINCT CASE WHEN x.first > y.first THEN a ELSE b END AS norm FROM m JOIN u x ON x.norm = a JOIN u y ON y.norm = b),
+w AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS words FROM l),
+u AS (SELECT words, min((doc_id, line_no)) AS first, row_number() OVER (ORDER BY words) AS id FROM w WHERE len(words) > 0 GROUP BY words),
+t AS (SELECT id, len(words) AS n, unnest(words) AS x FROM u),
+f AS (SELECT x, count(*) AS c FROM t GROUP BY x),
+k AS (SELECT id, n, t.x FROM t JOIN f ON f.x = t.x QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, t.x) <= n // 4 + 1),
+p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.x = b.x AND a.id < b.id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+s AS (SELECT a, b, len(list_intersect(x.words, y.words)) AS c, len(x.words) + len(y.words) AS nm, x.first AS xf, y.first AS yf FROM p JOIN u x ON x.id = a JOIN u y ON y.id = b),
+d AS (SELECT DISTINCT CASE WHEN xf > yf THEN a ELSE b END AS id FROM s WHERE 100 * c >= 75 * (nm - c)),
 r AS (
-  SELECT k.doc_id, k.line_no, k.norm <> '' AND (d.norm IS NOT NULL OR (k.doc_id, k.line_no) <> u.first) AS gone
-  FROM k LEFT JOIN u ON u.norm = k.norm LEFT JOIN d ON d.norm = k.norm)
+  SELECT w.doc_id, w.line_no, len(w.words) > 0 AND (d.id IS NOT NULL OR (w.doc_id, w.line_no) <> u.first) AS gone
+  FROM w LEFT JOIN u ON u.words = w.words LEFT JOIN d ON d.id = u.id)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(list_sort(list(CAST(line_no AS INTEGER)) FILTER (gone)), []) AS removed FROM r GROUP BY doc_id
 """

@@ -29,12 +29,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: what follows doesn't depend on the executors that made it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    spark = tables[0].sparkSession
+    for x in tables:
+        p = spark._jvm.org.apache.hadoop.fs.Path(x._staged)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

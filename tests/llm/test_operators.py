@@ -104,7 +104,7 @@ def test_line_dedup_against_all_pairs(spark):
     for d, t in enumerate(texts):
         for n, line in enumerate((t or "").split("\n")):
             w = line.lower().split()
-            sets.append((d, n, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+            sets.append((d, n, set(w)))
     want = {d: [] for d in range(len(texts))}
     for k, (d, n, s) in enumerate(sets):
         if s and any(x[2] and 100 * len(s & x[2]) >= 75 * len(s | x[2]) for x in sets[:k]):
