@@ -11,20 +11,23 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| over their sets of distinc
     1 + min(n, m) // 16 of their first n // 4 + 1 + n // 16 shingles (prefix filter
     with a count).  Posting lists are dealt out in packed blocks.
 3.  Block skip.  A shared shingle at positions p and q leaves room for at most
-    min(p, q) + min(n - p, m - q) common ones, so entries of a list whose positions
-    are further apart than a link allows are skipped, block of positions by block.
-    Lists of up to ``SMALL`` entries give counted pairs; only pairs with the full
-    count go on.
+    min(p, q) + min(n - p, m - q) common ones.  A list is ordered by position, and an
+    entry meets only the block of those up to n / 3 positions behind it, beyond which
+    there is no room for a link; the rest of the list is skipped unread.  Lists of up to
+    ``SMALL`` entries give counted pairs; only pairs with the full count for their two
+    lengths go on.
 4.  Answer skip.  A longer list names one member as its hub, and members of lists with
     the same hub meet in that hub's group, in blocks of bounded size (sets with too few
-    shared shingles for any link don't).  There the hub's overlaps are computed first
-    and answers for other sets follow from them: a set already joined to another
-    through answered links needs no comparison with it, so a group of near copies takes
-    about one comparison a set, not one a pair.  Sets of large groups that are left
-    outside the group's main component are then compared with each block of the group.
+    shared shingles for any link don't).  There the hub's overlaps are counted first, by
+    lists of the group's own.  The overlaps of a highly similar set follow from the answered
+    set's by the lists of their few different shingles alone.  A set already joined to
+    another through answered links needs no answer of its own, so a group of near copies
+    takes about one a block.  Sets of large groups that are left outside the group's main
+    component are then compared with each block of the group.
 
 Collision bound: ids and shingles are 64-bit hashes, so different sets share an id with
-probability n^2 / 2^65 (under 1e-8 for 10^5 documents).
+probability n^2 / 2^65 (under 1e-8 for 10^5 documents).  Intersections are counted on 48 bits:
+a pair of sets of 1,000 shingles counts one too many with probability 4e-9.
 
 Cases: nulls, empty texts and texts of white space have the empty set, n_shingles 0,
 and are their own component.  Rows that repeat keep one result row each.  Rows whose
@@ -47,16 +50,22 @@ from .stage import staged, table
 
 WIDTH = 5
 #: Shingles counted at a time in one task.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: A shingle that repeats within chunks this many times in all counts as frequent.
-FREQUENT = 16
+FREQUENT = 4
 #: Most frequent shingles that are sent to the executors (16 MB); the order of further ones is by hash.
 FREQUENT_MOST = 1 << 20
 #: Postings in one block of the index, members of a group compared in one task at a time.
 BUCKET = 1 << 20
 GROUP = 1024
+#: Answers of a group that are kept for others to be derived from.
+ANSWERED = 32
 #: Entries of a list that gives its pairs; a longer one gives a hub.
-SMALL = 16
+SMALL = 64
+#: Pairs of entries looked at at a time.
+PAIRS = 1 << 20
+#: Bytes of each shingle of a set that is sent to a group.
+SENT_BYTES = 6
 #: Up to this many places of sets in groups (40 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -126,13 +135,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield repeats()
 
 
+def _prefix(n: np.ndarray) -> np.ndarray:
+    return n // 4 + 1 + n // 16
+
+
 def _need(n: np.ndarray) -> np.ndarray:
     """Fewest shared prefix shingles of a set in any link: for its smallest partner."""
     return 1 + -(-3 * n // 4) // 16
 
 
+def _pair_need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Fewest shared prefix shingles of a link between sets of n and m: common shingles that aren't in
+    both prefixes come after the prefix that ends first, in its own set."""
+    return np.maximum(1, -(-3 * (n + m) // 7) - np.maximum(n - _prefix(n), m - _prefix(m)))
+
+
+def _narrow(local: np.ndarray, k: int) -> bytes:
+    return local.astype(np.uint16 if k <= 1 << 16 else np.uint32).tobytes()
+
+
 def _index(frequent, n_buckets: int):
-    """Packed prefix postings.  A block: k; k set ids, k sizes; shingles, indexes of ids, positions."""
+    """Packed prefix postings.  A block: k; k set ids, k sizes; the low 32 bits of shingles, indexes of
+    ids, positions.  Shingles that agree in a bucket and these bits only make more candidates."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranks, hubs = frequent.value
@@ -151,7 +175,7 @@ def _index(frequent, n_buckets: int):
                 at = order[lo:hi]
                 own, first, local = np.unique(i[at], return_index=True, return_inverse=True)
                 names.append(int(to[at[0]]))
-                out.append(b"".join(x.tobytes() for x in (np.array([len(own)], np.int64), own, n[at][first].astype(np.uint32), g[at], local.astype(np.uint32), np.minimum(p[at], 65535).astype(np.uint16))))
+                out.append(b"".join(x.tobytes() for x in (np.array([len(own)], np.int64), own, n[at][first].astype(np.uint32), g[at].astype(np.uint32), np.minimum(p[at], 65535).astype(np.uint16))) + _narrow(local, len(own)))
             if direct:
                 rows = np.concatenate(direct)
                 to = (K.mix(rows[:, 0].view(np.uint64)) % K.U(n_buckets)).astype(np.int64)
@@ -170,7 +194,7 @@ def _index(frequent, n_buckets: int):
                 often = np.zeros(len(values), bool)
                 often[_found(grams, values, hit)] = True
                 doc = np.repeat(np.arange(len(own)), n)
-                prefix = n // 4 + 1 + n // 16
+                prefix = _prefix(n)
                 rare = np.zeros(len(values) + 1, np.int64)
                 np.cumsum(~often, out=rare[1:])
                 place = rare[:-1] - rare[ends[:-1]][doc]
@@ -216,13 +240,14 @@ def _hubs(t: pa.Table) -> pa.Table:
     for x in t.column("block"):
         b = x.as_py()
         k = int(np.frombuffer(b, np.int64, 1)[0])
-        m = (len(b) - 8 - 12 * k) // 14
+        wide = 2 if k <= 1 << 16 else 4
+        m = (len(b) - 8 - 12 * k) // (6 + wide)
         at = 8 + 12 * k
-        local = np.frombuffer(b, np.uint32, m, at + 8 * m)
-        columns[0].append(np.frombuffer(b, np.uint64, m, at))
+        local = np.frombuffer(b, np.uint16 if wide == 2 else np.uint32, m, at + 6 * m)
+        columns[0].append(np.frombuffer(b, np.uint32, m, at))
         columns[1].append(np.frombuffer(b, np.int64, k, 8)[local])
         columns[2].append(np.frombuffer(b, np.uint32, k, 8 + 8 * k)[local].astype(np.int64))
-        columns[3].append(np.frombuffer(b, np.uint16, m, at + 12 * m).astype(np.int64))
+        columns[3].append(np.frombuffer(b, np.uint16, m, at + 4 * m).astype(np.int64))
     g, i, n, p = (np.concatenate(x) for x in columns)
     order = np.argsort(g, kind="stable")
     same = g[order][1:] == g[order][:-1]
@@ -238,15 +263,25 @@ def _hubs(t: pa.Table) -> pa.Table:
     size = np.repeat(length, length)
     hub = np.repeat(i[start], length)
     small, large = (size > 1) & (size <= SMALL), size > SMALL
-    pairs: list[tuple[np.ndarray, ...]] = []
-    for d in range(1, SMALL):
-        a = np.flatnonzero((g[d:] == g[:-d]) & small[d:])
-        b = a + d
+    lists = np.repeat(np.arange(len(start)), length)
+    at = np.flatnonzero(small)
+    at = at[np.lexsort((p[at], lists[at]))]
+    reach = np.searchsorted((lists[at] << 17) + p[at], (lists[at] << 17) + np.minimum(p[at] + n[at] // 3, 65535), "right")
+    many = reach - np.arange(len(at)) - 1
+    done = np.append(0, np.cumsum(many))
+    pairs: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(lo, hi), many[lo:hi])
+        y = x + 1 + np.arange(len(x)) - np.repeat(done[lo:hi] - done[lo], many[lo:hi])
+        a, b = at[x], at[y]
         room = np.minimum(p[a], p[b]) + np.minimum(n[a] - p[a], n[b] - p[b])
         far = (7 * room < 3 * (n[a] + n[b])) & (p[a] < 65535) & (p[b] < 65535)
         far |= (4 * np.minimum(n[a], n[b]) < 3 * np.maximum(n[a], n[b]))
         a, b = a[~far], b[~far]
-        pairs.append((np.minimum(i[a], i[b]), np.maximum(i[a], i[b]), 1 + np.minimum(n[a], n[b]) // 16))
+        pairs.append((np.minimum(i[a], i[b]), np.maximum(i[a], i[b]), _pair_need(n[a], n[b])))
+        lo = hi
     rows = [
         _counted(PAIR, *(np.concatenate(x) for x in zip(*pairs, strict=True))),
         _counted(MEMBER, i[large], hub[large], _need(n[large])),
@@ -270,7 +305,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in np.flatnonzero(own == wanted[lo : lo + len(own)]):
                 if int(own[k]) not in seen:
                     seen.add(int(own[k]))
-                    grams = values[ends[k] : ends[k + 1]].tobytes()
+                    grams = values[ends[k] : ends[k + 1]].view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes()
                     out += [g | {"id": int(own[k]), "grams": grams} for g in groups[lo + k].as_py()]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_SENT_TYPES)
@@ -283,29 +318,45 @@ def answer(sets: list[np.ndarray], labels: np.ndarray, queries: np.ndarray | Non
     """Links that join the components which all links of these sets make.
 
     labels: components known before.  queries: positions to be compared with all
-    (else every set).  A set is only compared with sets outside its component and
-    within the length filter.
+    (else every set).  A set's answer holds sets outside its component and within the
+    length filter.
     """
     k = len(sets)
     size = np.array([len(x) for x in sets])
     bounds = np.append(0, np.cumsum(size))
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(vocabulary), np.int64)
+    by = np.argsort(ids, kind="stable")
+    owner = np.repeat(np.arange(k), size)[by]
+    first = np.append(0, np.cumsum(np.bincount(ids, minlength=len(vocabulary))))
     comp = labels.copy()
     links: list[tuple[int, int]] = []
     left = np.ones(k, bool) if queries is None else np.isin(np.arange(k), queries)
+    answered: list[tuple[int, np.ndarray]] = []
+
+    def tally(elements: np.ndarray) -> np.ndarray:
+        """How many of these shingles each set has, from the shingles' lists."""
+        n = first[elements + 1] - first[elements]
+        at = np.repeat(first[elements] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=k)
+
+    def overlaps(x: int) -> np.ndarray:
+        """The sizes of all intersections with set x, from a similar answered set's where there is one."""
+        mine = ids[bounds[x] : bounds[x + 1]]
+        base, known = max(answered, key=lambda t: t[1][x], default=(x, None))
+        if known is not None and 2 * (size[x] + size[base] - 2 * known[x]) < size[x]:
+            other = ids[bounds[base] : bounds[base + 1]]
+            return known + tally(np.setdiff1d(mine, other, True)) - tally(np.setdiff1d(other, mine, True))
+        common = tally(mine)
+        if len(answered) < ANSWERED:
+            answered.append((x, common))
+        return common
+
     x = 0 if queries is None else (int(queries[0]) if len(queries) else -1)
     while x >= 0:
         left[x] = False
         others = np.flatnonzero((comp != comp[x]) & (100 * size >= percent * size[x]) & (percent * size <= 100 * size[x]))
         if len(others):
-            mine = ids[bounds[x] : bounds[x + 1]]
-            mark[mine] = 1
-            if len(others) * 2 >= k:
-                common = np.add.reduceat(mark[ids], bounds[:-1])[others]
-            else:
-                common = np.array([mark[ids[bounds[o] : bounds[o + 1]]].sum() for o in others])
-            mark[mine] = 0
+            common = overlaps(x)[others]
             for o in others[100 * common >= percent * (size[x] + size[others] - common)]:
                 if comp[o] != comp[x]:
                     comp[comp == comp[o]] = comp[x]
@@ -318,6 +369,12 @@ def answer(sets: list[np.ndarray], labels: np.ndarray, queries: np.ndarray | Non
     return links
 
 
+def _grams(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SENT_BYTES, 8), np.uint8)
+    out[:, :SENT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SENT_BYTES)
+    return out.view(np.uint64)[:, 0]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of equal keys from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -351,7 +408,7 @@ def _answers(keys: list[str]):
             _, first = np.unique(ids, return_index=True)
             asks = t.column("asks").to_numpy(zero_copy_only=False)
             if len(first) > 1:
-                sets = [np.frombuffer(t.column("grams")[int(j)].as_py(), np.uint64) for j in first]
+                sets = [_grams(t.column("grams")[int(j)].as_py()) for j in first]
                 own = ids[first]
                 asking = np.array([asks[ids == x].any() for x in own]) if keys[-1] == "part" else None
                 hub = np.flatnonzero(own == t.column("hub")[0].as_py())

@@ -14,8 +14,8 @@ whose tokens have a Jaccard similarity of 75 % or more with any earlier line, in
     first n - ceil(6 n / 7) + 1 tokens of one and m - ceil(3 m / 4) + 1 of the other share a
     token.  At positions p, q at most min(p, q) + min(n - p, m - q) tokens are common.  Lists of
     frequent tokens are split by powers of 2 of the length, and those of very frequent ones
-    again, so that removed classes never meet each other.  The difference of two 64-bit
-    signatures bounds the symmetric difference from below and spares most comparisons.
+    again, so that removed classes never meet each other.  Signatures in which each token
+    flips a bit bound the symmetric difference from below and spare most comparisons.
 5.  Pairs are verified on the lines' words themselves.
 
 Cases: null and empty texts have one line without words; lines without words stay.  Rows
@@ -42,11 +42,12 @@ PART = 1 << 20
 #: Up to this many candidate lines (32 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
-_LOW = (1 << 48) - 1
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), _SPACE), "")
+    """Lower-case words.  Most lines have no white space but single characters that need no pattern."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\n"))
+    return F.array_remove(F.split(F.lower(F.when(odd, F.regexp_replace(line, _SPACE, " ")).otherwise(line)), " "), "")
 
 
 def row(text: Column) -> Column:
@@ -68,14 +69,14 @@ def _rank(count: int) -> int:
 
 
 def _cells(docs: DataFrame) -> Column:
-    """The ranks of all cells, as one folded array."""
+    """The ranks of all cells, times 2**48, as one folded array."""
     cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
     said = docs.select(F.explode(words(F.col("text").cast("string"))).alias("w"))
     found = said.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
-    ranks = [_rank(0)] * CELLS
+    ranks = [_rank(0) << 48] * CELLS
     for c, n in zip(found.column("cell").to_pylist(), found.column("n").to_pylist(), strict=True):
-        ranks[c] = _rank(n)
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
+        ranks[c] = _rank(n) << 48
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -84,14 +85,26 @@ def _classes(docs: DataFrame) -> DataFrame:
     said = lines(docs).withColumn("words", words(F.col("line"))).where(F.size("words") > 0)
     hashed = said.withColumn("tokens", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
     n = F.size("tokens")
-    rank = lambda t: F.element_at(cells, (t.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int")).cast("long")
-    key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(rank(t), 48).bitwiseOR(F.shiftrightunsigned(t, 16))))
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 58).cast("int"))))
+    key = F.sort_array(F.transform("tokens", lambda t: F.get(cells, t.bitwiseAND(F.lit(CELLS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 16))))
+
+    def signature(of) -> Column:
+        """Bits that each token of one half flips one of."""
+        flip = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: F.when(of(t), a.bitwiseXOR(flip(t))).otherwise(a))
+
+    bits = F.struct(signature(lambda t: t < 0).alias("a"), signature(lambda t: t >= 0).alias("b"))
     rest = hashed.select("id", "id2", F.struct("doc_id", "row", "line_no").alias("first"), n.alias("n"), bits.alias("bits"), F.array_min("tokens").alias("least"), F.array_max("tokens").alias("greatest"), F.slice(key, 1, F.floor(n / 4).cast("int") + 1).alias("prefix"))
     one = rest.groupBy("id", "id2").agg(F.min(F.struct("first", "n", "bits", "least", "greatest", "prefix")).alias("x"))
     return one.select("id", "id2", "x.*")
 
 
+def _near(bits: Column, other: Column, n: Column, m: Column) -> Column:
+    """Whether the signatures allow a match: each token of the symmetric difference, which has
+    (n + m) / 7 tokens at most, makes at most one bit differ."""
+    flipped = F.bit_count(bits["a"].bitwiseXOR(other["a"])) + F.bit_count(bits["b"].bitwiseXOR(other["b"]))
+    return 7 * flipped <= n + m
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, id2 of the later class of each pair (a, b of ids) that matches, by the words of its lines."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -118,7 +131,7 @@ def _led(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keyed = classes.select(F.explode(F.array("least", F.xxhash64("greatest"))).alias("key"), "first", "id", "n", "bits")
     led = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("first", "id", "n", "bits")).alias("x")).where(F.col("c") > SMALL)
     led = led.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("m"), F.col("x.bits").alias("m_bits"))
-    near = (F.col("id") != F.col("a")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (7 * F.bit_count(F.col("bits").bitwiseXOR(F.col("m_bits"))) <= F.col("n") + F.col("m"))
+    near = (F.col("id") != F.col("a")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & _near(F.col("bits"), F.col("m_bits"), F.col("n"), F.col("m"))
     pairs = staged(keyed.join(led, "key").where(near).select("a", F.col("id").alias("b")).distinct(), "led")
     later = _verified(docs, classes, pairs)
     release(pairs)
@@ -126,31 +139,32 @@ def _led(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _postings(classes: DataFrame, gone: DataFrame) -> DataFrame:
-    """key, id, bits, n, p, short, long, open: prefix tokens of all classes, dealt by key.
+    """key, id, the signatures a and b, packed: prefix tokens of all classes.
 
-    short, long: whether the entry takes part as the shorter or as the longer line.
-    open: whether the class isn't removed yet.
+    packed: the number n of tokens (28 bits) and the position p (28 bits), then whether the entry takes
+    part as the shorter line, as the longer line, and whether the class is open, i.e. not removed yet.
     """
     gone = gone.select("id", "id2", F.lit(False).alias("open"))
-    every = classes.select("id", "id2", "n", "bits", "prefix").join(gone, ["id", "id2"], "left").select("id", "n", "bits", F.coalesce("open", F.lit(True)).alias("open"), F.posexplode("prefix").alias("p", "token"))
-    n, short, open_, token = F.col("n"), F.col("p") <= F.col("n") - F.ceil(6 * F.col("n") / 7), F.col("open"), F.col("token")
-    rank, band = F.shiftright(token, 48), lambda x: F.length(F.bin(x))
-    own, next_ = band(n), band(F.floor(4 * n / 3))
-
-    def entry(key: Column, as_short: Column, as_long: Column) -> Column:
-        return F.struct(key.alias("key"), as_short.alias("short"), as_long.alias("long"))
-
-    yes, no = F.lit(True), F.lit(False)
-    at = lambda *x: F.xxhash64(token, *x)
-    plain = F.array(entry(at(), short, yes))
-    often = F.when(short & (own != next_), F.array(entry(at(own), yes, yes), entry(at(next_), yes, no))).otherwise(F.array(entry(at(own), short, yes)))
-    # lists of open classes as the longer lines, met by all, and of removed ones, met by open ones
-    lists = F.array(*(F.struct(b.alias("b"), F.lit(o).alias("o"), (short & (open_ if not o else yes) & (yes if b is own else own != next_)).alias("s"), ((open_ == F.lit(o)) & F.lit(b is own)).alias("l")) for b in (own, next_) for o in (True, False)))
-    very = F.transform(F.filter(lists, lambda x: x["s"] | x["l"]), lambda x: entry(at(x["b"], x["o"]), x["s"], x["l"]))
-    entries = F.when(rank < _rank(OFTEN), plain).when(rank < _rank(VERY_OFTEN), often).otherwise(very)
-    out = every.select("id", "bits", "n", "p", "open", F.explode(entries).alias("e"))
-    packed = F.col("n").cast("long") + F.shiftleft(F.col("p").cast("long"), 28) + F.shiftleft(F.col("e.short").cast("long"), 56) + F.shiftleft(F.col("e.long").cast("long"), 57) + F.shiftleft(F.col("open").cast("long"), 58)
-    return out.select("e.key", "id", "bits", packed.alias("packed"))
+    band = lambda x: F.length(F.bin(x))
+    each = classes.join(gone, ["id", "id2"], "left").select("id", "n", "bits", F.coalesce("open", F.lit(True)).alias("open"), F.ceil(6 * F.col("n") / 7).alias("least"), band(F.col("n")).alias("own"), band(F.floor(4 * F.col("n") / 3)).alias("next"), "prefix")
+    every = each.select("*", F.posexplode("prefix").alias("p", "token")).drop("prefix").withColumn("rank", F.shiftright("token", 48)).withColumn("short", F.col("p") <= F.col("n") - F.col("least"))
+    yes, no, short, open_, own, next_ = F.lit(True), F.lit(False), F.col("short"), F.col("open"), F.col("own"), F.col("next")
+
+    def entry(as_short: Column, as_long: Column, *key: Column) -> Column:
+        return F.struct(F.xxhash64("token", *key).bitwiseAND(F.lit((1 << 40) - 1)).alias("key"), as_short.alias("short"), as_long.alias("long"))
+
+    two = F.array(entry(yes, yes, own), entry(yes, no, next_))
+    often = F.when(short & (own != next_), two).otherwise(F.array(entry(short, yes, own)))
+    some = every.where(F.col("rank") < _rank(VERY_OFTEN)).withColumn("e", F.explode(F.when(F.col("rank") < _rank(OFTEN), F.array(entry(short, yes))).otherwise(often)))
+    # lists of open classes as the longer lines, met by all shorter ones, and of removed ones, met by open ones
+    hot = every.where(F.col("rank") >= _rank(VERY_OFTEN))
+    long = hot.withColumn("e", entry(no, yes, own, open_))
+    met = hot.where("short").withColumn("side", F.explode(F.when(open_, F.array(yes, no)).otherwise(F.array(yes))))
+    met = met.withColumn("at", F.explode(F.when(own != next_, F.array(own, next_)).otherwise(F.array(own)))).withColumn("e", entry(yes, no, F.col("at"), F.col("side")))
+    flags = F.shiftleft(F.col("e.short").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("e.long").cast("long"), 57)).bitwiseOR(F.shiftleft(open_.cast("long"), 58))
+    packed = F.col("n").cast("long").bitwiseOR(F.shiftleft(F.col("p").cast("long"), 28)).bitwiseOR(flags)
+    rows = [x.select("e.key", "id", "bits.a", "bits.b", packed.alias("packed")) for x in (some, long, met)]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def _pairs(postings: DataFrame) -> DataFrame:
@@ -164,7 +178,7 @@ def _pairs(postings: DataFrame) -> DataFrame:
     some_open = F.col("x.packed").bitwiseOR(F.col("y.packed")) >= F.lit(1 << 58)
     order = (n < m) | ((n == m) & (F.col("x.id") < F.col("y.id")))
     room = F.least(p, q) + F.least(n - p, m - q)
-    near = 7 * F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= n + m
+    near = _near(F.struct("x.a", "x.b"), F.struct("y.a", "y.b"), n, m)
     joined = x.join(y, (F.col("x.key") == F.col("y.key")) & flags & order & near & (4 * n >= 3 * m) & some_open & (7 * room >= 3 * (n + m)))
     return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 

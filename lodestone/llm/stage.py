@@ -31,16 +31,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
+    df.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of finished jobs
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    """Delete staged tables that nothing reads any more."""
     spark = tables[0].sparkSession
     for x in tables:
         p = spark._jvm.org.apache.hadoop.fs.Path(x._staged)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
