@@ -13,35 +13,35 @@ from pyspark.sql import functions as F
 from .stage import staged
 
 
-#: Nodes of more edges are joined by a broadcast; there are ``HOT_NODES`` of them at most.
-HOT_EDGES = 1024
-HOT_NODES = 100_000
+#: Keys of more rows are joined by a broadcast; there are ``HOT_KEYS`` of them at most.
+HOT_ROWS = 1024
+HOT_KEYS = 100_000
 
 
-def _with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
-    """rows(u, v) with m of least(u, m, d), where d counts the rows of a node.
+def with_few(rows: DataFrame, few: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows joined with few(key, d, further columns), where d counts a key's rows.
 
-    Rows of nodes of many edges stay where they are, so no task gets them all."""
-    if n_edges <= HOT_EDGES:
-        return rows.join(least, "u")
-    most = max(HOT_EDGES, 2 * n_edges // HOT_NODES)
-    hot = staged(least.where(F.col("d") > most), "hot")
+    Rows of keys of many rows stay where they are, so no task gets them all."""
+    if n <= HOT_ROWS:
+        return rows.join(few, key)
+    most = max(HOT_ROWS, n // HOT_KEYS)
+    hot = staged(few.where(F.col("d") > most), "hot")
     if not hot.limit(1).count():
-        return rows.join(least, "u")
-    cold = rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.where(F.col("d") <= most), "u")
-    return cold.unionByName(rows.join(F.broadcast(hot), "u"))
+        return rows.join(few, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col("d") <= most), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def _large_star(e: DataFrame, n_edges: int) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
-    return _with_least(both, least, n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return with_few(both, least, "u", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame, n_edges: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-    near = _with_least(down, least, n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near = with_few(down, least, "u", n_edges).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _mark(e)
     while before[0]:
         large = _large_star(e, before[0]).where("u <> v").distinct()
-        if before[0] > HOT_EDGES:
+        if before[0] > HOT_ROWS:
             large = staged(large, "large")
         e = staged(_small_star(large, before[0]).where("u <> v").distinct(), "stars")
         after = _mark(e)

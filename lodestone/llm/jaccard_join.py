@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .components import connected_components
+from .components import connected_components, with_few
 from .stage import staged, table
 
 WIDTH = 5
@@ -465,8 +465,8 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = found.where((F.col("kind") == PAIR) & (F.col("c") >= F.col("need"))).select("id", "hub")
     named = members.join(count.where("k = 1").select("hub"), "hub", "left_anti").select("id", "hub").union(pairs).distinct()
     named = staged(named, "named")
-    least = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    reps = staged(least.join(named.select("id").union(named.select("hub")).distinct(), "id", "left_semi"), "reps")
+    least = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("d"))
+    reps = staged(least.drop("d").join(named.select("id").union(named.select("hub")).distinct(), "id", "left_semi"), "reps")
     parts = max(12, -(-total // (2 << 20)))
     placed = (
         named.join(large, "hub", "left")
@@ -491,11 +491,11 @@ def classes(docs: DataFrame) -> DataFrame:
         links = staged(links.union(_in_groups(second, ["hub", "block", "part"], parts)), "links")
 
     roots = connected_components(links).withColumnRenamed("node", "id")
-    joined = roots.join(least, "id")
+    joined = roots.join(least.drop("d"), "id")
     named_roots = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = joined.join(named_roots, "root").select("id", "component_id")
-    every = least.join(linked, "id", "left").select("id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    some = rows.where("n > 0").join(every, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    every = staged(least.join(linked, "id", "left").select("id", F.coalesce("component_id", "doc_id").alias("component_id"), "d"), "every")
+    some = with_few(rows.where("n > 0"), every, "id", rows.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 

@@ -16,7 +16,7 @@ whose tokens have a Jaccard similarity of 75 % or more with any earlier line, in
     frequent tokens are split by powers of 2 of the length, and those of very frequent ones
     again, so that removed classes never meet each other.  Signatures in which each token
     flips a bit bound the symmetric difference from below and spare most comparisons.
-5.  Pairs are verified on the lines' words themselves.
+5.  Pairs are verified on the lines' words themselves, a line's nearest candidate first.
 
 Cases: null and empty texts have one line without words; lines without words stay.  Rows
 that repeat a doc_id and its text are one document.  Rows of a doc_id with different texts,
@@ -98,11 +98,14 @@ def _classes(docs: DataFrame) -> DataFrame:
     return one.select("id", "id2", "x.*")
 
 
+def _flipped(bits: Column, other: Column) -> Column:
+    return F.bit_count(bits["a"].bitwiseXOR(other["a"])) + F.bit_count(bits["b"].bitwiseXOR(other["b"]))
+
+
 def _near(bits: Column, other: Column, n: Column, m: Column) -> Column:
     """Whether the signatures allow a match: each token of the symmetric difference, which has
     (n + m) / 7 tokens at most, makes at most one bit differ."""
-    flipped = F.bit_count(bits["a"].bitwiseXOR(other["a"])) + F.bit_count(bits["b"].bitwiseXOR(other["b"]))
-    return 7 * flipped <= n + m
+    return 7 * _flipped(bits, other) <= n + m
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -180,7 +183,25 @@ def _pairs(postings: DataFrame) -> DataFrame:
     room = F.least(p, q) + F.least(n - p, m - q)
     near = _near(F.struct("x.a", "x.b"), F.struct("y.a", "y.b"), n, m)
     joined = x.join(y, (F.col("x.key") == F.col("y.key")) & flags & order & near & (4 * n >= 3 * m) & some_open & (7 * room >= 3 * (n + m)))
-    return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    far = _flipped(F.struct("x.a", "x.b"), F.struct("y.a", "y.b")).cast("int")
+    return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.alias("far")).distinct()
+
+
+def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, id2 of the later classes of pairs that match.
+
+    One match is enough: each class is compared with its nearest earlier candidate by signature, and
+    with all others only if that fails, so a group of near copies takes about one comparison a class."""
+    first = classes.select("id", "first")
+    ordered = pairs.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    swap = F.col("x") > F.col("y")
+    ordered = staged(ordered.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), "far"), "ordered")
+    nearest = staged(ordered.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select("x.a", "b"), "nearest")
+    found = _verified(docs, classes, nearest)
+    rest = staged(ordered.select("a", "b").join(found.select(F.col("id").alias("b")), "b", "left_anti").join(nearest, ["a", "b"], "left_anti").select("a", "b"), "rest")
+    out = staged(found.union(_verified(docs, classes, rest)), "found")
+    release(ordered, nearest, rest, found)
+    return out
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -190,7 +211,7 @@ def removed(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     parts = max(12, -(-total // PART))
     pairs = staged(_pairs(_postings(classes, led).repartition(parts, "key")), "pairs")
-    gone = led.union(_verified(docs, classes, pairs)).distinct().withColumn("gone", F.lit(True))
+    gone = led.union(_later(docs, classes, pairs)).distinct().withColumn("gone", F.lit(True))
     out = staged(classes.select("id", "id2", "first").join(gone, ["id", "id2"], "left"), "removed")
     release(classes, led, pairs)
     return out
