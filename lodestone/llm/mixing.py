@@ -1,13 +1,15 @@
 """Soft-membership mixing: document rates that meet domain token targets.
 
-1.  A softmax classifier over hashed words, fitted on at most ``LABELLED`` rows whose
-    domain is known, gives every document posteriors over the domains.
+1.  A multinomial model of hashed words, fitted on about ``LABELLED`` rows whose domain
+    is known, gives every document posteriors over the domains.
 2.  Targets: tokens by domain, from weights (default: the square root of each domain's
     own expected share, which lifts small domains).  With ``repeat`` (default) the total is
-    the least for which no domain shrinks, and every document stays at least once;
-    else the total is the corpus's own.
-3.  Nonnegative rates minimise the squared relative misses of expected domain totals,
-    sum_d rate_d tokens_d p_dk against target_k, by projected gradient steps from rate 1.
+    the least for which no domain shrinks, and rates are 1 at least, so every document
+    stays; else the total is the corpus's own, and rates are 0 at least.
+3.  Rates from there up to ``most`` (a parameter: no document is repeated more often, and
+    what domains of too few tokens lack of their target shows in the report) minimise the
+    squared misses of expected domain totals, sum_d rate_d tokens_d p_dk against target_k,
+    by projected gradient steps from rate 1.
     A step moves a rate by its document's posteriors times a vector of K numbers, so an
     iteration is one pass of sums over (tokens, posteriors); rates are never stored
     between passes, and the driver holds K numbers a step.
@@ -37,6 +39,10 @@ LABELLED = 8_000
 HASHED = 1 << 12
 STEPS = 60
 TOLERANCE = 1e-4
+#: Steps end when so many of them have not lessened the largest miss by a hundredth.
+STALLED = 4
+#: The rate of a document at most.
+MOST = 16.0
 
 
 def _bags(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -47,11 +53,6 @@ def _bags(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarr
         yield lo, hi, w.count.astype(np.int64), doc, (w.hashes & K.U(HASHED - 1)).astype(np.int64)
 
 
-def _dense(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    x = np.bincount(doc * HASHED + word, minlength=n * HASHED).reshape(n, HASHED).astype(np.float32)
-    return x / np.maximum(x.sum(1, keepdims=True), 1)
-
-
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of the sample by domain."""
     total: dict[str, np.ndarray] = {}
@@ -79,8 +80,10 @@ def classifier(docs: DataFrame, domain: Column, most: int = LABELLED) -> tuple[l
     t = known.where(F.col("h") <= F.lit(limit)).select("text", "domain").mapInArrow(_totals, "domain string, word long, n long")
     c = np.ones((HASHED, len(names))) * 0.5
     place = {k: i for i, k in enumerate(names)}
-    for r in t.groupBy("domain", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        c[r["word"], place[r["domain"]]] += r["n"]
+    sums = t.groupBy("domain", "word").agg(F.sum("n").alias("n")).toArrow()
+    seen = sums.column("domain").combine_chunks().dictionary_encode()
+    column = np.array([place[k] for k in seen.dictionary.to_pylist()], np.int64)[seen.indices.to_numpy()]
+    c[sums.column("word").to_numpy(), column] += sums.column("n").to_numpy()
     rows = {r["domain"]: r["n"] for r in counted}
     prior = np.array([rows[k] for k in names], float)
     return names, np.log(c / c.sum(0)), np.log(prior / prior.sum())
@@ -101,15 +104,15 @@ def _posteriors(model):
     return f
 
 
-def _sums(k: int):
-    """Of a task, sums of rate x tokens x posterior at domain, and of tokens x the posteriors' products where the rate is above 0."""
+def _sums(k: int, low: float, most: float):
+    """Of a task, sums of rate x tokens x posterior at domain, and of tokens x the posteriors' products where the rate is at no bound."""
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, a = np.zeros(k), np.zeros((k, k))
         for batch in batches:
             n, r = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(2).to_numpy(zero_copy_only=False)
             p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
             t += (r * n) @ p
-            a += (p * np.where(r > 0, n, 0.0)[:, None]).T @ p
+            a += (p * np.where(((r > low) | (low > 0)) & (r < most), n, 0.0)[:, None]).T @ p
         every = np.concatenate([t, a.ravel()])
         some = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(every[some])], names=["place", "v"])
@@ -121,9 +124,9 @@ def _dot(step: np.ndarray) -> Column:
     return sum((F.col("p")[k] * F.lit(float(v)) for k, v in enumerate(step)), F.lit(0.0))
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """The rate after all steps; equal steps' effects are exact as long as no rate was cut at 0."""
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(F.col("p"), s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y))) if steps else F.lit(1.0)
+def _rate(steps: list[np.ndarray], low: float, most: float) -> Column:
+    """The rate after all steps, each cut to the bounds."""
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps]), F.lit(1.0), lambda r, s: F.least(F.lit(most), F.greatest(F.lit(low), r - F.aggregate(F.zip_with(F.col("p"), s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)))) if steps else F.lit(1.0)
 
 
 def targets_of(natural: np.ndarray, weights: np.ndarray | None, repeat: bool) -> np.ndarray:
@@ -136,52 +139,60 @@ def targets_of(natural: np.ndarray, weights: np.ndarray | None, repeat: bool) ->
     return share * (np.max(natural[live] / share[live]) if repeat else natural.sum())
 
 
-def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, repeat: bool = True) -> tuple[DataFrame, dict]:
+def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, repeat: bool = True, most: float = MOST) -> tuple[DataFrame, dict]:
     """Rows (doc_id, n_tokens, p, rate), and domains, targets and totals reached."""
     spark = docs.sparkSession
     model = classifier(docs, docs[domain])
     names = model[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(model)), "doc_id long, n_tokens long, p array<double>"), "posteriors")
-    k = len(names)
+    k, low = len(names), 1.0 if repeat else 0.0
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros(k + k * k)
-        parts = rows.select("n_tokens", "p", _rate(steps).alias("r")).mapInArrow(_sums(k), "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+        parts = rows.select("n_tokens", "p", _rate(steps, low, most).alias("r")).mapInArrow(_sums(k, low, most), "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
         sums[parts.column("place").to_numpy()] = parts.column("v").to_numpy()
         return sums[:k], sums[k:].reshape(k, k)
 
     natural, curve = totals([])
     target = targets_of(natural, None if weights is None else np.array([weights.get(n, 0.0) for n in names]), repeat)
     steps: list[np.ndarray] = []
-    reached = natural
+    reached, best, stalled = natural, np.inf, 0
     for _ in range(STEPS):
         miss = reached - target
-        if np.max(np.abs(miss) / np.maximum(target, 1)) <= TOLERANCE:
+        worst = np.max(np.abs(miss) / np.maximum(target, 1))
+        best, stalled = (worst, 0) if worst < 0.99 * best else (best, stalled + 1)
+        if worst <= TOLERANCE or stalled == STALLED:
             break
         # gradient in the metric that the curvature of the rates still above 0 gives
         steps.append(np.linalg.lstsq(curve + np.eye(len(names)) * (1e-9 * max(curve.trace(), 1.0)), miss, rcond=None)[0])
         reached, curve = totals(steps)
-    out = rows.withColumn("rate", _rate(steps))
+    out = rows.withColumn("rate", _rate(steps, low, most))
     return out, {"domains": names, "natural": natural, "target": target, "reached": reached, "steps": steps}
 
 
 def copies(rate: Column, key: Column) -> Column:
     """Whole copies of a document: the rate's whole part, and one more with the fraction's probability by a hash of the key."""
     u = (F.xxhash64(key, F.lit("mix")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, report = rates(table(spark, sf_dir, "documents"))
     domain = F.array(*[F.lit(n) for n in report["domains"]])[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    return out.select("doc_id", "n_tokens", domain.alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), F.round("rate", 9).alias("rate"), F.greatest(F.lit(1), copies(F.col("rate"), F.col("doc_id"))).alias("copies"))
+    return out.select("doc_id", "n_tokens", domain.alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """Documents, with all their columns, in their number of copies (0 is possible without ``repeat``)."""
+    out, _ = rates(docs, **options)
+    spare = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of docs
+    key, times, one = f"{spare}id", f"{spare}copies", f"{spare}one"
+    want = out.groupBy(F.col("doc_id").alias(key)).agg(F.max(copies(F.col("rate"), F.col("doc_id"))).alias(times)).where(F.col(times) != 1)
+    joined = docs.join(want, docs.doc_id.cast("long").eqNullSafe(want[key]), "left").withColumn(times, F.coalesce(F.col(times), F.lit(1)).cast("int"))
+    return joined.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in their number of copies; every document stays at least once."""
-    out, _ = rates(docs)
-    want = out.groupBy(F.col("doc_id").alias("_id")).agg(F.greatest(F.lit(1), F.max(copies(F.col("rate"), F.col("doc_id")))).alias("_copies"))
-    again = want.where("_copies <> 1")
-    joined = docs.join(again, docs.doc_id.eqNullSafe(again["_id"]), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*(joined[c] for c in docs.columns))
+    return mixed(docs)

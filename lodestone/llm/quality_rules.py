@@ -4,7 +4,7 @@ Counts of each whole text come from one vectorised pass (16-odd passes over byte
 string per word) and are written as a small table.  A rule's failures are summed by
 host (partial sums before the shuffle, so a host with a third of all rows is no
 burden), each host's rate is shrunk towards an empirical beta prior fitted by the
-moments of all hosts' rates, and a host whose shrunk rate exceeds ``HOST_LIMIT`` for
+beta-binomial moments of all hosts, and a host whose shrunk rate exceeds ``HOST_LIMIT`` for
 some rule fails with all its documents.  Verdicts join back by host; only failed
 hosts are joined.
 
@@ -30,7 +30,8 @@ REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 HOST_LIMIT = 0.5
-#: The prior weighs at least 1 and at most this many documents.
+#: The prior weighs so many documents at least, so that no single page fails its host, and at most.
+PRIOR_LEAST = 2.0
 PRIOR_MOST = 1000.0
 
 _COUNTS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -102,11 +103,14 @@ def judged(docs: DataFrame) -> DataFrame:
     made = staged(rows.mapInArrow(_count, _COUNTS), "counts")
     names = list(rules())
     hosts = made.where("host is not null").groupBy("host").agg(F.count("*").alias("n"), *(F.sum(c.cast("long")).alias(k) for k, c in rules().items()))
-    m = hosts.agg(*(x for k in names for x in (F.avg(F.col(k) / F.col("n")).alias(f"m_{k}"), F.var_pop(F.col(k) / F.col("n")).alias(f"v_{k}")))).first()
+    # moments of the beta-binomial: pairs of documents of one host fail together more often than chance has it
+    m = hosts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), *(x for k in names for x in (F.sum(k).alias(f"k_{k}"), F.sum(F.col(k) * (F.col(k) - 1)).alias(f"both_{k}")))).first()
     bad = F.lit(False)
     for k in names:
-        mean, var = m[f"m_{k}"] or 0.0, m[f"v_{k}"] or 0.0
-        weight = min(PRIOR_MOST, max(1.0, mean * (1 - mean) / var - 1)) if var > 0 else PRIOR_MOST
+        mean = (m[f"k_{k}"] or 0) / m["n"] if m["n"] else 0.0
+        joint = m[f"both_{k}"] / m["pairs"] if m["pairs"] else mean * mean
+        rho = (joint - mean * mean) / (mean * (1 - mean)) if 0 < mean < 1 else 0.0
+        weight = min(PRIOR_MOST, max(PRIOR_LEAST, 1 / rho - 1)) if rho > 0 else PRIOR_MOST
         bad = bad | ((F.col(k) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)) > F.lit(HOST_LIMIT))
     failed = hosts.where(bad).select("host", F.lit(True).alias("host_failed"))
     return (
@@ -142,8 +146,9 @@ s AS (
   SELECT source, rule, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS k
   FROM (SELECT source, 1 AS rule, base_failed AS failed FROM f UNION ALL SELECT source, 2, f2 FROM f UNION ALL SELECT source, 3, f3 FROM f UNION ALL SELECT source, 4, f4 FROM f)
   WHERE source IS NOT NULL GROUP BY source, rule),
-p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM s GROUP BY rule),
-q AS (SELECT rule, m, CASE WHEN v > 0 THEN least({PRIOR_MOST}, greatest(1.0, m * (1 - m) / v - 1)) ELSE {PRIOR_MOST} END AS a FROM p),
+p AS (SELECT rule, sum(k) / sum(n) AS m, CASE WHEN sum(n * (n - 1)) > 0 THEN sum(k * (k - 1)) / sum(n * (n - 1)) ELSE (sum(k) / sum(n)) * (sum(k) / sum(n)) END AS j FROM s GROUP BY rule),
+o AS (SELECT rule, m, CASE WHEN m > 0 AND m < 1 THEN (j - m * m) / (m * (1 - m)) ELSE 0.0 END AS rho FROM p),
+q AS (SELECT rule, m, CASE WHEN rho > 0 THEN least({PRIOR_MOST}, greatest({PRIOR_LEAST}, 1 / rho - 1)) ELSE {PRIOR_MOST} END AS a FROM o),
 b AS (SELECT DISTINCT source AS bad FROM s JOIN q ON q.rule = s.rule WHERE (k + m * a) / (n + a) > {HOST_LIMIT})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad IS NULL AS kept, bad IS NOT NULL AS host_failed
 FROM f LEFT JOIN b ON bad = source
