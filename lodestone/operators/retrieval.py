@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,23 +14,34 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def mmr(rows: DataFrame, most: int = 8, balance: float = 0.72) -> DataFrame:
-    """Greedy choice within seed(seed, id, cluster, score, v) groups of bounded size: each turn takes the
-    row of the greatest balance * score - (1 - balance) * nearest chosen; a cluster gives at most
-    max(3, most // 4); ties go to the least id.  Callers rank rows first and pass 64 a seed at most."""
+def trigrams(text: str) -> set[str]:
+    """Trigrams of the text without white space; a shorter text is its own."""
+    s = "".join((text or "").split())
+    return {s[i : i + 3] for i in range(len(s) - 2)} if len(s) >= 3 else {s}
+
+
+def mmr(rows: DataFrame, most: int = 8, similar: float = 0.72, refill: int = 6) -> DataFrame:
+    """Diverse choice within seed(seed, id, cluster, score, text) groups of bounded size, by falling score.
+
+    A row is passed over if its cluster has max(3, most // 4) chosen ones, or if its trigrams have a
+    Jaccard similarity above ``similar`` with a chosen row's; the last two places don't ask for that.
+    If fewer than min(most, refill) are chosen, the best rows fill up.  Ties go to the least id.
+    Callers rank rows first and pass 64 a seed at most."""
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id").reset_index(drop=True)
-        v = np.stack(g["v"].map(np.asarray)).astype(float)
-        v /= np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) == 0, 1, n)
-        near, quota, chosen = np.zeros(len(g)), dict.fromkeys(g["cluster"], max(3, most // 4)), []
-        while len(chosen) < min(most, len(g)):
-            free = [i for i in range(len(g)) if i not in chosen and quota[g["cluster"][i]]]
-            if not free:
-                break
-            best = max(free, key=lambda i: (round(balance * g["score"][i] - (1 - balance) * near[i], 12), -i))
-            chosen.append(best)
-            quota[g["cluster"][best]] -= 1
-            near = np.maximum(near, v @ v[best])
+        g = g.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
+        chosen: list[int] = []
+        said: list[set[str]] = []
+        used: dict[object, int] = {}
+        for i, (cluster, text) in enumerate(zip(g["cluster"], g["text"], strict=True)):
+            own = trigrams(text)
+            near = max((len(own & x) / max(1, len(own | x)) for x in said), default=0.0)
+            full = used.get(cluster, 0) >= max(3, most // 4)
+            if len(chosen) < most and not full and (near <= similar or len(chosen) >= most - 2):
+                chosen.append(i)
+                said.append(own)
+                used[cluster] = used.get(cluster, 0) + 1
+        if len(chosen) < min(most, refill):
+            chosen = sorted({*chosen, *range(min(most, len(g)))})[:most]
         return pd.DataFrame({"seed": g["seed"][chosen], "rank": range(len(chosen)), "id": g["id"][chosen]})
 
-    return rows.groupBy("seed").applyInPandas(choose, "seed long, rank int, id long")
+    return rows.groupBy("seed").applyInPandas(choose, "seed string, rank int, id long")

@@ -67,9 +67,9 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mmr_select")
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT-7: the 64 best of each seed (label), then the greedy choice; tested against brute force."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("seed"), F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("cluster"), F.round(F.abs(F.col("embedding")[0].cast("double")), 6).alias("score"), F.col("embedding").alias("v"))
-    best = v.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where("r <= 64").drop("r")
+    """WN-7, RT-7: the 64 longest first lines of each seed (language), then the diverse choice; tested against a plain loop."""
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("seed"), F.col("doc_id").alias("id"), F.col("source").alias("cluster"), F.substring_index("text", "\n", 1).alias("text"))
+    best = d.withColumn("score", F.length("text")).withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))).where("r <= 64").drop("r")
     return retrieval.mmr(best)
 
 

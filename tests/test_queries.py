@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
+from lodestone.operators import retrieval
 from lodestone.plans import catalogue
 from lodestone.sources import TABLES
 from lodestone.streaming import windows
@@ -91,8 +92,25 @@ def test_ingest_by_both_keys(spark):
     assert {r["id"] for r in windows.ingest_new(b, known).collect()} == {1}
 
 
-def test_mmr_first_is_the_best(spark):
-    got = catalogue.queries()["mmr_select"](spark, DATA).where("rank = 0").collect()
-    v = spark.read.parquet(f"{DATA}/embeddings.parquet").select("label", "vec_id", F.round(F.abs(F.col("embedding")[0].cast("double")), 6).alias("s")).collect()
-    for r in got:
-        assert r["id"] == min((x for x in v if x["label"] == r["seed"]), key=lambda x: (-x["s"], x["vec_id"]))["vec_id"]
+def test_mmr_against_a_plain_loop(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [("s", i, "c" if i % 3 else f"d{i}", 100 - i, " ".join(words[(i // 4 + k) % 8] for k in range(6)) + (f" {i}" if i % 2 else "")) for i in range(24)]
+    rows += [("t", 50 + i, "one", 9, "same text here") for i in range(7)] + [("u", 90, "x", 1, "ab")]
+
+    def tri(x):
+        x = x.replace(" ", "")
+        return {x[i : i + 3] for i in range(len(x) - 2)} or {x}
+
+    want = set()
+    for seed in "stu":
+        own, chosen = sorted((r for r in rows if r[0] == seed), key=lambda r: (-r[3], r[1])), []
+        for r in own:
+            same = any(len(tri(r[4]) & tri(x[4])) / len(tri(r[4]) | tri(x[4])) > 0.72 for x in chosen)
+            if len(chosen) < 8 and sum(x[2] == r[2] for x in chosen) < 3 and (not same or len(chosen) >= 6):
+                chosen.append(r)
+        if len(chosen) < 6:
+            chosen = sorted({*chosen, *own[:8]}, key=own.index)[:8]
+        want |= {(seed, n, r[1]) for n, r in enumerate(chosen)}
+    got = retrieval.mmr(spark.createDataFrame(rows, "seed string, id long, cluster string, score int, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert catalogue.queries()["mmr_select"](spark, DATA).count() > 8
