@@ -63,20 +63,20 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _rank(count: int) -> int:
-    """The count's logarithm in quarters of a power of 2."""
+    """The count's logarithm in quarters of a power of 2, up to what a byte holds."""
     n = max(count, 1)
-    return 4 * n.bit_length() + (n * 4 >> n.bit_length())
+    return min(127, 4 * n.bit_length() + (n * 4 >> n.bit_length()))
 
 
 def _cells(docs: DataFrame) -> Column:
-    """The ranks of all cells, times 2**48, as one folded array."""
+    """The ranks of all cells, as one folded array."""
     cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
     said = docs.select(F.explode(words(F.col("text").cast("string"))).alias("w"))
     found = said.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
-    ranks = [_rank(0) << 48] * CELLS
+    ranks = [_rank(0)] * CELLS
     for c, n in zip(found.column("cell").to_pylist(), found.column("n").to_pylist(), strict=True):
-        ranks[c] = _rank(n) << 48
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+        ranks[c] = _rank(n)
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     said = lines(docs).withColumn("words", words(F.col("line"))).where(F.size("words") > 0)
     hashed = said.withColumn("tokens", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
     n = F.size("tokens")
-    key = F.sort_array(F.transform("tokens", lambda t: F.get(cells, t.bitwiseAND(F.lit(CELLS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(t, 16))))
+    key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(cells, t.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(t, 16))))
 
     def signature(of) -> Column:
         """Bits that each token of one half flips one of."""
