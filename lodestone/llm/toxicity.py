@@ -88,9 +88,12 @@ def _count(label: int, only):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
-            held = [x if only is None else x[np.isin(x, only.value)] for x in _document_keys(batch, 0, label, 1)]
+            held = list(_document_keys(batch, 0, label, 1))
             if held:
                 u, c = np.unique(np.concatenate(held), return_counts=True)
+                if only is not None:
+                    asked = np.isin(u, only.value)
+                    u, c = u[asked], c[asked]
                 for k, n in zip(u.tolist(), c.tolist(), strict=True):
                     total[k] = total.get(k, 0) + n
             if len(total) > 2_000_000:
