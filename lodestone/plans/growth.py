@@ -13,7 +13,7 @@ from ..sources import table
 from . import query
 from .relational import statement
 
-# GP-3, FL-8: six detectors.  Entities are parts, processes are customers with orders as stages, traditions are
+# GP-3: six detectors.  Entities are parts, processes are customers with orders as stages, traditions are
 # suppliers with lines as evidence, structures are orders with clusters, systems are nations, routes are events.
 _GAPS = """SELECT 'MISSING_SYSTEM_MEMBERSHIP' AS kind, concat('', CAST(p_partkey AS STRING)) AS ref, CAST(least(90, 40 + 5 * n) AS INT) AS priority
     FROM part JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_partkey) c ON k = p_partkey WHERE p_size < 5
@@ -40,7 +40,7 @@ _OPEN = "SELECT 'MISSING_PROCESS_STAGE' AS k, CAST(c_custkey AS {t}) AS r FROM c
 statement("gap_sync", f"SELECT coalesce(kind, k) AS kind, CASE WHEN k IS NULL THEN 'WRITE' WHEN kind IS NULL THEN 'CLOSE' ELSE 'KEEP' END AS action, coalesce(ref, r) AS ref FROM ({_GAPS}) g FULL JOIN ({_OPEN.format(t='STRING')}) o ON k = kind AND r = ref",
   f"""WITH g AS ({_GAPS_PLAIN}), o AS ({_OPEN.format(t='VARCHAR')}) SELECT kind, 'WRITE' AS action, ref FROM g WHERE (kind, ref) NOT IN (SELECT k, r FROM o)
   UNION ALL SELECT kind, 'KEEP', ref FROM g WHERE (kind, ref) IN (SELECT k, r FROM o) UNION ALL SELECT k, 'CLOSE', r FROM o WHERE (k, r) NOT IN (SELECT kind, ref FROM g)""")
-# GP-8, GP-9: tasks by nation, and three that nobody worked on; what each gained decides its next status
+# GP-9: tasks by nation, and three that nobody worked on; what each gained decides its next status
 _TASKS = "SELECT n_nationkey AS task FROM nation UNION ALL SELECT 1000 UNION ALL SELECT 1001"
 statement("task_gain", f"""SELECT task, coalesce(claims, 0) AS claims, coalesce(resources, 0) AS resources, coalesce(independent, 0) AS independent, CASE WHEN claims > 0 THEN 'RESOLVED' ELSE 'NO_GAIN' END AS status FROM ({_TASKS}) t LEFT JOIN (
   SELECT nation AS k, sum(n) AS claims, count(*) AS resources, count(DISTINCT o_custkey) AS independent FROM (
@@ -64,7 +64,7 @@ statement("event_admission", """SELECT o_orderkey AS event, CASE WHEN located TH
   SELECT l_orderkey AS k, max(l_returnflag <> 'N') AS located, collect_list(struct(l_linenumber AS line, l_suppkey AS supplier)) AS who, array_sort(collect_set(p_brand)) AS brands FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey) l ON k = o_orderkey""",
   """SELECT o_orderkey AS event, CASE WHEN count(*) FILTER (l_returnflag IN ('A', 'R')) > 0 THEN 'ADMITTED' ELSE 'CANDIDATE' END AS status, list(l_suppkey ORDER BY l_linenumber, l_suppkey)[1:8] AS participants, list_sort(list_distinct(list(p_brand)))[1:6] AS organizations
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
-# AD-8: a statement names its chunk as doc#part; it is revoked where its quote is in that part no longer
+# AD-8 by exact quotes: a statement names its chunk as doc#part; it is revoked where its quote is in that part no longer
 statement("claim_reverify", r"""SELECT doc_id, CASE WHEN length(quote) >= 6 AND contains(substr(body, CAST(regexp_extract(ref, '#(\\d+)$', 1) AS INT) * 1200 + 1, 1200), quote) THEN 'ADMITTED' ELSE 'REVOKED' END AS status FROM (
   SELECT doc_id, coalesce(text, '') AS body, substr(coalesce(text, ''), 1, 24) AS quote, concat(doc_id, '#', doc_id % 2) AS ref FROM documents) d""",
   """SELECT doc_id, CASE WHEN length(left(coalesce(text, ''), 24)) < 6 OR strpos(substr(coalesce(text, ''), CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 1201 END, 1200), left(coalesce(text, ''), 24)) = 0 THEN 'REVOKED' ELSE 'ADMITTED' END AS status FROM documents""")
@@ -94,7 +94,7 @@ def membership_nonplace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SM-4: a worker runs while its last sign is younger than an hour
 statement("heartbeats", "SELECT user_id, max(ts) > any_value(now) - INTERVAL 1 HOUR AS running FROM events CROSS JOIN (SELECT max(ts) AS now FROM events) n GROUP BY user_id",
   "SELECT DISTINCT u.user_id, EXISTS (SELECT 1 FROM events e WHERE e.user_id IS NOT DISTINCT FROM u.user_id AND date_diff('microsecond', e.ts, (SELECT max(ts) FROM events)) < 3600000000) AS running FROM events u")
-# DD-6, DD-8: the funnel of a mention: its exact name and type, then its alias; one that the judge takes for the same merges, more are ambiguous, none is new
+# DD-6 without aliases and vectors, DD-8: the funnel of a mention: its exact name and type; one that the judge takes for the same merges, more are ambiguous, none is new
 _MENTIONS = "SELECT p_partkey AS mention, p_name AS name, p_type AS type FROM part WHERE p_partkey % 2 = 1"
 _KNOWN = "SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS alias FROM part WHERE p_partkey % 2 = 0"
 statement("resolve_funnel", f"""SELECT mention, CASE WHEN n = 1 THEN 'merge' WHEN n > 1 THEN 'ambiguous' ELSE 'new' END AS decision, CASE WHEN n = 1 THEN target END AS target FROM (
@@ -104,6 +104,6 @@ statement("resolve_funnel", f"""SELECT mention, CASE WHEN n = 1 THEN 'merge' WHE
 # DD-9: keys of candidates, and those that are not stored yet
 statement("candidate_ids", "SELECT doc_id, sha1(concat_ws('|', 'doc', CAST(doc_id AS STRING), coalesce(lang, ''))) AS key FROM documents LEFT ANTI JOIN labels USING (doc_id)",
   "SELECT doc_id, sha1('doc|' || doc_id || '|' || coalesce(lang, '')) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-# DD-10: answers of a known type with a quote, cut to their lengths; the others fail
+# DD-10 in part: answers of a known type with a quote, cut to their lengths; the others fail
 statement("extraction_check", "SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'type' WHEN coalesce(trim(text), '') = '' THEN 'quote' ELSE 'ok' END AS verdict, substr(text, 1, 80) AS name, substr(text, 1, 300) AS description FROM conversations",
   "SELECT conv_id, turn, CASE WHEN role = 'user' OR role = 'assistant' THEN CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 'quote' ELSE 'ok' END ELSE 'type' END AS verdict, left(text, 80) AS name, left(text, 300) AS description FROM conversations")

@@ -167,7 +167,7 @@ statement("case_coverage", f"""SELECT c AS golden, sum(CASE WHEN k IS NULL THEN
   FROM ({_NEED}) r LEFT JOIN (SELECT DISTINCT s_nationkey AS k, p.p_brand AS brand FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag IN ('A', 'R')) h ON k = c AND brand = p_brand GROUP BY c""",
   f"""SELECT c AS golden, count(*) FILTER (met) AS met, count(*) AS needed, count(*) FILTER (met) / count(*) >= 0.95 AS ok FROM (
   SELECT c, EXISTS (SELECT 1 FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag IN ('A', 'R') AND s_nationkey = r.c AND p.p_brand = r.p_brand) AS met FROM ({_NEED}) r) x GROUP BY c""")
-# AG-28: how many lines still have their resource, subject and object
+# AG-28 without relocation: how many lines still have their resource, subject and object
 statement("closure_rates", """SELECT count(*) AS rows_in, count(o_orderkey) AS resources, count(p_partkey) AS subjects, count(s_suppkey) AS objects, round(count(o_orderkey) / count(*), 6) AS rate
   FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey""",
   """SELECT (SELECT count(*) FROM lineitem) AS rows_in, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) AS resources, (SELECT count(*) FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)) AS subjects,
