@@ -39,7 +39,7 @@ def norm_key(text: Column, most: int = 120) -> Column:
 
 def pieces(text: Column, most: int = 20) -> Column:
     """The parts between enumerating commas and semicolons that aren't blank, the first ``most``."""
-    cut = F.transform(F.split(F.coalesce(text, F.lit("")), "[、,，;；]"), F.trim)
+    cut = F.transform(F.split(F.coalesce(text, F.lit("")), "[、,，;；]"), lambda x: F.trim(x))
     return F.slice(F.filter(cut, lambda x: x != ""), 1, most)
 
 

@@ -57,12 +57,12 @@ def norm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.norm_key(F.col("text")).alias("key"))
 
 
-@query("field_pieces", """SELECT doc_id, len(p) AS n, p[1] AS head FROM (
+@query("field_pieces", """SELECT doc_id, len(p) AS n, p[1] AS head, p[2] AS second FROM (
   SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[、,，;；]'), lambda x: trim(x)), lambda x: x <> '')[1:20] AS p FROM documents) d""")
 def field_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-34: the enumerated parts of a text."""
     p = gates.pieces(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n"), F.get(p, F.lit(0)).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n"), F.get(p, F.lit(0)).alias("head"), F.get(p, F.lit(1)).alias("second"))
 
 
 _RAW = [(-1, "abc"), (-2, "1.7"), (-3, "-3"), (-4, None), (-5, "0.25")]
