@@ -70,10 +70,10 @@ _RAW_SQL = "(VALUES " + ", ".join(f"({i}, {'CAST(NULL AS VARCHAR)' if x is None
 
 
 @query("answer_scores", f"""SELECT id, CASE WHEN s IS NULL OR s < 0 THEN 0.0 WHEN s > 1 THEN 1.0 ELSE s END AS score FROM (
-  SELECT id, TRY_CAST(raw AS DOUBLE) AS s FROM (SELECT * FROM {_RAW_SQL} UNION ALL SELECT event_id, CAST(round(value / 100, 3) AS VARCHAR) FROM events) r) t""")
+  SELECT id, TRY_CAST(raw AS DOUBLE) AS s FROM (SELECT * FROM {_RAW_SQL} UNION ALL SELECT event_id, CAST(value / 300 AS VARCHAR) FROM events) r) t""")
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-32: scores of a judge's answers as texts, between 0 and 1."""
-    raw = spark.createDataFrame(_RAW, "id bigint, raw string").union(table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / 100, 3).cast("string")))
+    raw = spark.createDataFrame(_RAW, "id bigint, raw string").union(table(spark, sf_dir, "events").select("event_id", (F.col("value") / 300).cast("string")))
     return raw.select("id", gates.unit_score(F.col("raw")).alias("score"))
 
 
