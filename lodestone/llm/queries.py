@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, quote_linking, token_store, toxicity, warc
+from . import adaptive_clusters, decontaminate, jaccard_join, line_dedup, mixing, piece_codec, quality_classifier, quality_rules, quote_linking, token_store, toxicity, vector_codes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_centroid_clusters": adaptive_clusters.op11_centroid_clusters,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_piece_codec": piece_codec.op13_piece_codec,
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.SQL,
         "op9_line_dedup": line_dedup.SQL,
         "op10_quality_rules": quality_rules.SQL,
+        "op11_centroid_clusters": adaptive_clusters.SQL,
+        "op12_vector_codes": vector_codes.SQL,
     }
