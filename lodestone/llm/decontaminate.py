@@ -11,12 +11,13 @@ lower-cased.
 2.  Embedding.  The CGK walk copies the current word at each step and moves on where a
     random bit of (step, word) is set, which maps few edits to few mismatches.  Of its
     3 n steps the first n are made; walks that have parted rarely meet again later.
-3.  LSH.  Each table samples ``m`` steps; m and the number of tables are fitted so that
-    copies of the items with n // 4 random edits, the tenth that meets least often among
-    them, meet with probability ``RECALL``.
+3.  LSH.  Each table samples ``m`` steps; m and the number of tables are fitted, by item
+    size, so that copies of the items with n // 4 random edits (changes, inserts, drops)
+    meet with a mean probability of ``RECALL``.  A size that no number of tables up to
+    ``TABLES_MOST`` serves has all its filtered windows verified.
 4.  Each candidate is verified by the exact edit distance of the item to the best run of
-    words around the window, walk by walk: windows of a verified leak, once items like
-    the leaked one have been verified there too, take no further walks.
+    words around the window, walk by walk: windows within n // 2 of a verified leak, once
+    it and items like it have been searched for around all of them, take no further walks.
 
 The items travel to every executor; above ``ITEM_WORDS`` words they are taken in several
 passes.  Everything runs where the text is read: no shuffle of texts, and only leaks leave.
@@ -42,8 +43,11 @@ from .stage import table
 
 MIN_WORDS = 8
 RECALL = 0.97
-#: With more tables than this a table samples fewer steps; one step needs as many as the recall takes.
+#: With more tables than this a table samples fewer steps; where one step needs more, every window of the filter is verified.
 TABLES_MOST = 192
+#: Edited copies of a size's items, and walks of each, that tables are fitted to.
+FITTED = 400
+WALKS_TRIED = 16
 STEPS = 1
 TABLES_OF_WALK = 12
 #: Words of items held by an executor at a time (about 100 MB with their tables).
@@ -123,18 +127,23 @@ class Index:
             key = np.concatenate([run_hashes(self.short_words[k], n) for k in own])
             order = np.argsort(key, kind="stable")
             self.short[n] = key[order], own[order]
-        self.mask, self.tables = self._fit(seed) if self.words else (1, 0)
+        self.plan = self._fit(seed)
         self.pairs = np.unique(np.concatenate([pair_hashes(w) for w in self.words])) if self.words else np.zeros(0, K.U)
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n in sorted({len(w) for w in self.words}):
             own = np.array([k for k, w in enumerate(self.words) if len(w) == n])
             flat = np.concatenate([self.words[k] for k in own])
-            key = np.concatenate([sig for _, sig in self._signatures(flat, np.arange(len(own)) * n, n)])
+            key = np.concatenate([np.zeros(0, K.U), *(sig for _, sig in self._signatures(flat, np.arange(len(own)) * n, n))])
             order = np.argsort(key, kind="stable")
             pairs = np.append(np.isin(self.pairs, np.concatenate([pair_hashes(self.words[k]) for k in own])), False)
-            self.sizes[n] = (pairs, key[order], np.tile(own, self.tables)[order])
+            self.sizes[n] = (pairs, key[order], np.tile(own, self.plan[n][1])[order])
 
         self.own_pairs = [set(pair_hashes(w).tolist()) for w in self.words]
+        self.having: dict[int, dict[int, list[int]]] = {n: {} for n in self.sizes if not self.plan[n][1]}
+        for k, w in enumerate(self.words):
+            if len(w) in self.having:
+                for x in self.own_pairs[k]:
+                    self.having[len(w)].setdefault(x, []).append(k)
         self.alike: list[list[int]] = self._alike()
 
     def _alike(self) -> list[list[int]]:
@@ -152,47 +161,48 @@ class Index:
             out.append([o for o, c in shared.items() if o != k and 3 * c >= len(self.words[o]) - 1 - 2 * (len(self.words[o]) // 4)])
         return out
 
-    def _fit(self, seed: int) -> tuple[int, int]:
-        """Sampled steps a table and tables for the target recall, on edited copies of up to 200 items."""
+    def _fit(self, seed: int) -> dict[int, tuple[int, int]]:
+        """Sampled steps a table, and tables for the target recall, by item size; 0 tables where ``TABLES_MOST`` don't
+        reach it, so that every window of the filter is verified.
+
+        ``FITTED`` edited copies of a size's items are embedded by ``WALKS_TRIED`` walks each.  Tables of a walk meet
+        together where the walk stays in step, so a copy is missed by a walk with the mean over its walks."""
         rng = np.random.default_rng(seed)
-        few = [self.words[k] for k in rng.permutation(len(self.words))[:200]]
-        rates = []
-        for w in few:
-            n = len(w)
-            kind = rng.permutation(np.arange(n))[: n // 4]
-            copy: list[int] = []
-            for i, c in enumerate(w.tolist()):
-                how = rng.integers(3) if i in kind else -1
-                if how in (-1, 1):
-                    copy.append(c)
-                if how in (0, 1):
-                    copy.append(int(rng.integers(1 << 62)))
-            copy += [int(rng.integers(1 << 62)) for _ in range(n)]
-            c = np.array(copy, K.U)
-            zero = np.zeros(1, np.int64)
-            rates.append(np.mean([(embed(w, zero, n, s) == embed(c, zero, n, s)).mean() for s in range(4)]))
-        for m in (4, 3, 2, 1):
-            hit = float(np.quantile(rates, 0.1) ** m)
-            tables = int(np.ceil(np.log(1 - RECALL) / np.log(max(1e-9, 1 - min(hit, 1 - 1e-9)))))
-            if tables <= TABLES_MOST or m == 1:
-                return m, max(1, tables)
-        raise AssertionError
+        out = {}
+        for n in sorted({len(w) for w in self.words}):
+            own = [w for w in self.words if len(w) == n]
+            which = np.resize(rng.permutation(len(own)), FITTED)
+            copies = []
+            for k in which:
+                w = own[k].tolist()
+                for _ in range(n // 4):
+                    how, at = rng.integers(3), int(rng.integers(len(w)))
+                    w[at : at + (how < 2)] = [int(rng.integers(1 << 62))] * int(how > 0)  # drop, change, insert
+                copies += (w + [int(rng.integers(1 << 62)) for _ in range(n)])[: 3 * n // 2]
+            items, edited = np.concatenate([own[k] for k in which]), np.array(copies, K.U)
+            at = np.arange(FITTED)
+            same = np.stack([(embed(items, at * n, n, s) == embed(edited, at * (3 * n // 2), n, s)).mean(1) for s in range(WALKS_TRIED)])
+            out[n] = (1, 0)
+            for m in (4, 3, 2, 1):
+                missed = ((1 - same**m) ** TABLES_OF_WALK).mean(0)  # by the tables of a walk, of each copy
+                walks = next((w for w in range(1, TABLES_MOST // TABLES_OF_WALK + 1) if (missed**w).mean() <= 1 - RECALL), 0)
+                if walks:
+                    out[n] = (m, walks * TABLES_OF_WALK)
+                    break
+        return out
 
     def _signatures(self, words: np.ndarray, starts: np.ndarray, n: int, end: np.ndarray | None = None, walk: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """Of each table, or each of one walk, a key of each window."""
-        for w in range(self.walks) if walk is None else (walk,):
+        mask, tables = self.plan[n]
+        for w in range(tables // TABLES_OF_WALK) if walk is None else (walk,):
             e = embed(words, starts, n, w, end)
             rng = np.random.default_rng(1000 + w)
-            for t in range(w * TABLES_OF_WALK, min(self.tables, (w + 1) * TABLES_OF_WALK)):
+            for t in range(w * TABLES_OF_WALK, (w + 1) * TABLES_OF_WALK):
                 sig = np.full(len(starts), K.U(t * 7919 + n))
-                for j in rng.choice(STEPS * n, self.mask, replace=False):
+                for j in rng.choice(STEPS * n, mask, replace=False):
                     sig = K.mix(sig * K.U(31) + e[:, j])
                 yield t, sig
 
-    @property
-    def walks(self) -> int:
-        return -(-self.tables // TABLES_OF_WALK)
-
     def _places(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of each word, the number of the pair it begins; the count of pairs where that is no item's pair."""
         h = pair_hashes(words)
@@ -238,19 +248,14 @@ class Index:
         if len(words) < 2 or not self.words:
             return
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        tried: set[tuple[int, int, int]] = set()
+        tried: dict[tuple[int, int, int], bool] = {}
         own_sets = self.own_pairs
 
-        def verify(d: int, item: int, p: int) -> bool:
-            """Is the item leaked around position p?"""
+        def searched(d: int, item: int, lo: int, hi: int) -> bool:
+            """Is the item leaked by a run that begins from lo to hi?  Runs have up to n // 4 words more."""
             w = self.words[item]
             n, k = len(w), len(w) // 4
-            if (d, item) in best and abs(best[d, item][1] + int(first[d]) - p) <= n:
-                return True
-            a, b = max(int(first[d]), p - k), min(int(first[d + 1]), p + n + 2 * k)
-            if (d, item, (p - int(first[d])) // max(1, k)) in tried:
-                return False
-            tried.add((d, item, (p - int(first[d])) // max(1, k)))
+            a, b = max(int(first[d]), lo), min(int(first[d + 1]), hi + n + k)
             if len(own_sets[item] - set(pair_hashes(words[a:b]).tolist())) > 2 * k:
                 return False
             dist, s, e = best_run(w, words[a:b])
@@ -260,13 +265,40 @@ class Index:
             best[d, item] = min(best.get((d, item), here), here)
             return True
 
+        def verify(d: int, item: int, p: int) -> bool:
+            """Is the item leaked by a run that begins within n // 4 words of p?  Positions are taken in blocks of
+            that many; around a leak, all runs that begin within n // 2 are searched for the nearest."""
+            n = len(self.words[item])
+            k = n // 4
+            block = (p - int(first[d])) // k
+            found = tried.get((d, item, block))
+            if found is None:
+                at = int(first[d]) + block * k
+                found = tried[d, item, block] = searched(d, item, at - k, at + 2 * k)
+                if found:
+                    searched(d, item, p - n // 2 - k, p + n // 2 + k)
+                    for x in range(-(-(p - n // 2 - int(first[d])) // k), (p + n // 2 - int(first[d])) // k):
+                        tried[d, item, x] = True
+            return found
+
         places, end = self._places(words, first), np.repeat(first[1:], np.diff(first))
         for n, (pairs, keys, items) in self.sizes.items():
             k = n // 4
             every = self._windows(pairs[places], end, n - 1 - 2 * k, n + k)
+            having = self.having.get(n)
+            if having is not None:  # no tables reach the recall: items with enough of the window's pairs
+                for p, d in zip(every.tolist(), (np.searchsorted(first, every, "right") - 1).tolist(), strict=True):
+                    shared: dict[int, int] = {}
+                    for x in set(pair_hashes(words[p : min(p + n + k, int(first[d + 1]))]).tolist()):
+                        for item in having.get(x, ()):
+                            shared[item] = shared.get(item, 0) + 1
+                    for item, c in shared.items():
+                        if c >= len(own_sets[item]) - 2 * k:
+                            verify(d, item, p)
+                continue
             for part in range(0, len(every), 1 << 14):
                 s = every[part : part + (1 << 14)]
-                for walk in range(self.walks):
+                for walk in range(self.plan[n][1] // TABLES_OF_WALK):
                     if not len(s):
                         break
                     doc = np.searchsorted(first, s, "right") - 1

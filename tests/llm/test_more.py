@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +12,29 @@ from lodestone.llm import decontaminate, line_dedup, mixing, quality_rules, toke
 
 def test_mixing_with_a_rare_domain_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", 7, 8), (2, "a b d", "en", 7, 8), (3, "a c", "en", 7, 8), (4, "", "de", 7, 8)], "doc_id long, text string, lang string, _copies int, _copy int")
-    out = mixing.mixed(docs)
+    out = mixing.mixed(docs, most=16.0)
     assert out.columns == docs.columns and out.count() >= 4
-    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= mixing.MOST
+    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_mixing_tells_rows_without_ids_apart(spark):
+    def copies_of(ids):
+        rows = [(ids(i), " ".join(f"e{(i * 7 + k) % 50}" for k in range(30)), "en") for i in range(100)] + [(ids(100), " ".join(f"d{k}" for k in range(30)), "de")]
+        out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        return {r["lang"]: r["count"] for r in out.groupBy("lang").count().collect()}
+
+    own = copies_of(lambda i: i)
+    assert own["en"] == 100 and own["de"] > 5
+    assert copies_of(lambda i: None) == own or abs(copies_of(lambda i: None)["de"] - own["de"]) <= 1
+    assert copies_of(lambda i: 7)["en"] == 100
+
+
+def test_mixing_reaches_targets_of_rare_domains(spark):
+    rows = [(i, " ".join(f"e{(i * 7 + k) % 50}" for k in range(40)), "en") for i in range(300)] + [(300, "d0 d1 d2 d3 d4 d5 d6", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    report = mixing.rates(docs)[1]
+    assert abs(report["reached"] - report["target"]).max() <= 0.01 * report["target"].max()
+    assert mixing.rates(docs, most=16.0)[1]["reached"].min() < 0.5 * report["target"].min()
 
 
 def test_mixing_without_repeats_meets_targets(spark):
@@ -30,7 +51,7 @@ def test_mixing_without_repeats_meets_targets(spark):
     a, target = (p * n[:, None]).T, report["target"]
     r = np.ones(len(n))
     for _ in range(4000):
-        r = np.clip(r - a.T @ (a @ r - target) / np.linalg.norm(a @ a.T, 2), 0, mixing.MOST)
+        r = np.clip(r - a.T @ (a @ r - target) / np.linalg.norm(a @ a.T, 2), 0, None)
     mine = np.array([rates[i] for i in range(len(rows))])
     assert np.sum((a @ mine - target) ** 2) <= np.sum((a @ r - target) ** 2) + 1e-4 * np.sum(target**2)
     kept = mixing.mixed(docs, weights=dict.fromkeys("abcd", 1.0), repeat=False).groupBy("lang").count().collect()
@@ -80,6 +101,53 @@ def test_token_shards_are_bounded_by_ids(spark, monkeypatch):
     assert sorted(map(tuple, token_store.store(docs).collect()), key=repr) == want
 
 
+def edited(rng, w, most):
+    """Changes, inserts and drops."""
+    w = list(w)
+    for _ in range(most):
+        how, at = rng.integers(3), int(rng.integers(len(w)))
+        w[at : at + (how < 2)] = [f"z{rng.integers(10**6)}"] * int(how > 0)
+    return w
+
+
+def found_in(index, docs):
+    words = decontaminate.item_words(pa.array([" ".join(d) for d in docs]))
+    first = np.append(0, np.cumsum([len(x) for x in words]))
+    return {(d, item): dist for d, item, dist, _, _ in index.leaks(np.concatenate(words), first)}
+
+
+def test_benchmarks_of_one_item_are_found():
+    rng = np.random.default_rng(5)
+    hit = total = 0
+    for size in [8] * 60 + [9] * 20 + [12] * 20 + [30] * 10:
+        item = [f"i{rng.integers(10**6)}" for _ in range(size)]
+        index = decontaminate.Index([1], decontaminate.item_words(pa.array([" ".join(item)])))
+        docs = [[f"p{rng.integers(10**6)}" for _ in range(20)] + edited(rng, item, size // 4) + [f"s{rng.integers(10**6)}" for _ in range(20)] for _ in range(10)]
+        hit += len(found_in(index, docs))
+        total += len(docs)
+    assert hit >= 0.95 * total
+    for k in range(300):  # rates that once were 0
+        item = [f"{c}{k}" for c in "abcdefghi"]
+        assert found_in(decontaminate.Index([1], decontaminate.item_words(pa.array([" ".join(item)]))), [["x", *item, "y"]]) == {(0, 0): 0}
+
+
+def test_the_least_distance_is_reported():
+    rng = np.random.default_rng(6)
+    item = [f"i{rng.integers(10**6)}" for _ in range(20)]
+    index = decontaminate.Index([1], decontaminate.item_words(pa.array([" ".join(item)])))
+    docs = [[f"p{rng.integers(10**6)}" for _ in range(int(rng.integers(5)))] + edited(rng, item, 3) + item + ["s"] * 9 for _ in range(80)]
+    assert found_in(index, docs) == {(d, 0): 0 for d in range(80)}
+
+
+def test_items_that_share_words_are_all_found():
+    rng = np.random.default_rng(8)
+    base = [f"i{rng.integers(10**6)}" for _ in range(24)]
+    items = [base, base[:12] + [f"j{k}" for k in range(12)], edited(rng, base, 4), [f"k{k}" for k in range(16)]]
+    index = decontaminate.Index([1, 2, 3, 4], decontaminate.item_words(pa.array([" ".join(w) for w in items])))
+    for item in range(4):
+        assert found_in(index, [["a", "b", *items[item], "c"]])[0, item] == 0
+
+
 def test_decontamination_recall_of_edited_copies(spark):
     rng = np.random.default_rng(11)
     items = [[f"q{rng.integers(10**6)}" for _ in range(int(rng.integers(15, 40)))] for _ in range(60)]
