@@ -6,10 +6,10 @@
     own expected share, which lifts small domains).  With ``repeat`` (default) the total is
     the least for which no domain shrinks, and rates are 1 at least, so every document
     stays; else the total is the corpus's own, and rates are 0 at least.
-3.  Rates from there up to ``most`` (a parameter: no document is repeated more often, and
-    what domains of too few tokens lack of their target shows in the report) minimise the
-    squared misses of expected domain totals, sum_d rate_d tokens_d p_dk against target_k,
-    by projected gradient steps from rate 1.
+3.  Rates from there minimise the squared misses of expected domain totals,
+    sum_d rate_d tokens_d p_dk against target_k, by projected gradient steps from rate 1.
+    They have no upper bound unless ``most`` sets one; what domains of too few tokens then
+    lack of their target shows in the report.
     A step moves a rate by its document's posteriors times a vector of K numbers, so an
     iteration is one pass of sums over (tokens, posteriors); rates are never stored
     between passes, and the driver holds K numbers a step.
@@ -19,8 +19,9 @@ a task, so the cost grows with the square of the number of domains.
 
 Cases: null and empty texts have no words: their posteriors are the classifier's prior
 and they weigh nothing.  Without known domains there is one domain, and all rates are 1.
-A domain without tokens has no target.  Repeated rows are rated alike; an empty table
-gives no rows.
+A domain without tokens has no target.  Repeated rows are rated alike, and rows are told
+apart by doc_id and text, so those without a doc_id, or with another row's, have copies of
+their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +42,6 @@ STEPS = 60
 TOLERANCE = 1e-4
 #: Steps end when so many of them have not lessened the largest miss by a hundredth.
 STALLED = 4
-#: The rate of a document at most.
-MOST = 16.0
 
 
 def _bags(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -99,7 +98,7 @@ def _posteriors(model):
                 logit = logit / np.maximum(n, 1)[:, None] * np.minimum(n, 30)[:, None] + prior
                 p = np.exp(logit - logit.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["row", "n_tokens", "p"])
 
     return f
 
@@ -139,13 +138,14 @@ def targets_of(natural: np.ndarray, weights: np.ndarray | None, repeat: bool) ->
     return share * (np.max(natural[live] / share[live]) if repeat else natural.sum())
 
 
-def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, repeat: bool = True, most: float = MOST) -> tuple[DataFrame, dict]:
-    """Rows (doc_id, n_tokens, p, rate), and domains, targets and totals reached."""
+def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, repeat: bool = True, most: float = float("inf")) -> tuple[DataFrame, dict]:
+    """Rows (key, doc_id, n_tokens, p, rate), and domains, targets and totals reached.  ``key`` is ``row_key``'s."""
     spark = docs.sparkSession
     model = classifier(docs, docs[domain])
     names = model[0]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = staged(rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(model)), "doc_id long, n_tokens long, p array<double>"), "posteriors")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key")).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(model)), "row struct<doc_id:long,key:long>, n_tokens long, p array<double>")
+    rows = staged(rows.select("row.key", "row.doc_id", "n_tokens", "p"), "posteriors")
     k, low = len(names), 1.0 if repeat else 0.0
 
     def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +171,12 @@ def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | Non
     return out, {"domains": names, "natural": natural, "target": target, "reached": reached, "steps": steps}
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's doc_id and text."""
+    doc_id = docs["doc_id"].cast("long")
+    return F.xxhash64(doc_id.isNull(), doc_id, docs["text"].cast("string"))
+
+
 def copies(rate: Column, key: Column) -> Column:
     """Whole copies of a document: the rate's whole part, and one more with the fraction's probability by a hash of the key."""
     u = (F.xxhash64(key, F.lit("mix")).bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
@@ -180,7 +186,7 @@ def copies(rate: Column, key: Column) -> Column:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, report = rates(table(spark, sf_dir, "documents"))
     domain = F.array(*[F.lit(n) for n in report["domains"]])[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    return out.select("doc_id", "n_tokens", domain.alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return out.select("doc_id", "n_tokens", domain.alias("domain"), F.round(F.array_max("p"), 9).alias("posterior"), F.round("rate", 9).alias("rate"), copies(F.col("rate"), F.col("key")).alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -188,8 +194,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     out, _ = rates(docs, **options)
     spare = "_" * (1 + max(map(len, docs.columns)))  # longer than any column of docs
     key, times, one = f"{spare}id", f"{spare}copies", f"{spare}one"
-    want = out.groupBy(F.col("doc_id").alias(key)).agg(F.max(copies(F.col("rate"), F.col("doc_id"))).alias(times)).where(F.col(times) != 1)
-    joined = docs.join(want, docs.doc_id.cast("long").eqNullSafe(want[key]), "left").withColumn(times, F.coalesce(F.col(times), F.lit(1)).cast("int"))
+    want = out.groupBy(F.col("key").alias(key)).agg(F.max(copies(F.col("rate"), F.col("key"))).alias(times)).where(F.col(times) != 1)
+    joined = docs.join(want, row_key(docs) == want[key], "left").withColumn(times, F.coalesce(F.col(times), F.lit(1)).cast("int"))
     return joined.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*(f"`{c}`" for c in docs.columns))
 
 
