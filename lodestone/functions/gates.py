@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names that no gate admits, words of disputes, enterprises, provinces and their suffixes, punctuation of keys.
+# Names that no gate admits, words of disputes, enterprises, provinces that contain places, regions in
+# the order in which names are searched for them, suffixes of provinces, punctuation of keys.
 HARD_REJECT = r"停车|换乘|P\+R|收费站|高速公路|G\d+|S\d+省道|立交|高架|地铁线路|公交线路|查重|搬运|DNF|搬砖|bilibili|快手|抖音|APP|下载|安装|怎么读|的意思|的解释|的拼音|的笔顺|新华字典|汉典|官网|首页|订票|门票价格|导航|在线|系统说明|搬砖攻略|游戏|论坛"
 DISPUTE = r"争议|另一说|一说|质疑|存疑|考证|或云|异说|分歧"
 ENTERPRISE = r"(有限公司|股份有限公司|集团|责任公司|公司$)"
 PROVINCES = ["四川", "湖北", "湖南", "江苏", "浙江", "安徽", "江西", "贵州", "云南", "青海", "西藏", "甘肃", "陕西", "河南", "广西", "广东", "福建"]
+REGIONS = ["湖北", "湖南", "四川", "重庆", "江苏", "江西", "安徽", "云南", "贵州", "青海", "西藏", "甘肃", "河南", "陕西", "浙江", "上海"]
 PROVINCE_SUFFIX = r"(省|自治区|特别行政区)$"
 KEY_PUNCTUATION = r"""[\s，。、；：？！"'（）()\[\]【】《》<>—\-…·,.:;?!]+"""
 

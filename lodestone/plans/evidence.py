@@ -10,37 +10,42 @@ from ..sources import table
 from . import query
 from .relational import statement
 
-#: Seeds of the channels: a term of part names, and one that only its trigrams find.
-SEEDS = [(1, "ring"), (2, "widgets"), (3, "smal rings"), (4, "NATION_1"), (5, "absent term")]
+#: Seeds of the channels: a term of part names, one that only its trigrams find, one inside words, and one of another script.
+SEEDS = [(1, "ring"), (2, "widgets"), (3, "smal rings"), (4, "NATION_1"), (5, "absent term"), (6, "in"), (7, "长江")]
+#: Names beside those of parts.
+NAMED = [(-1, "large ring 5"), (-2, "长江 ring"), (-3, "长江流域"), (-4, "")]
 _SEEDS = "(VALUES " + ", ".join(f"({n}, '{t}')" for n, t in SEEDS) + ") s(seed, term)"
+_NAMED = "(SELECT p_partkey AS quote, p_name AS name FROM part UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in NAMED) + ") v(quote, name))"
 LEXICAL, CLAIMS, EVIDENCE, EVENTS, ONE_HOP, HOP_EVIDENCE, SIMILAR = 120, 200, 120, 40, 120, 80, 0.28
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the lower-cased words, each padded by two spaces before and one after."""
-    word = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Distinct trigrams of the lower-cased words (of letters and digits of any script), each padded by two spaces before and one after."""
+    word = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.array_distinct(F.flatten(F.transform(word, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3))))))
 
 
-_WORDS = "list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
-_TRIGRAMS = "list_distinct(flatten(list_transform(" + _WORDS + ", lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_WORDS = r"list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_TRIGRAMS = "list_distinct(flatten(list_transform(" + _WORDS + ", lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
 @query("lexical_channel", f"""WITH p AS (
-  SELECT seed, p_partkey AS quote, term, p_name, contains(lower(p_name), lower(term)) AS has, {_TRIGRAMS.format(x="term")} AS a, {_TRIGRAMS.format(x="p_name")} AS b FROM {_SEEDS} CROSS JOIN part),
-q AS (SELECT *, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS sim FROM p),
+  SELECT seed, quote, contains(lower(name), lower(term)) AS has, {_TRIGRAMS.format(x="term")} AS a, {_TRIGRAMS.format(x="name")} AS b FROM {_SEEDS} CROSS JOIN {_NAMED} n),
+q AS (SELECT *, coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0) AS sim FROM p),
 r AS (SELECT seed, quote, CASE WHEN has THEN 'term' ELSE 'trigram' END AS channel, sim FROM q WHERE has OR sim > {SIMILAR})
 SELECT seed, quote, channel, round(sim, 9) AS similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY seed, channel ORDER BY CASE WHEN channel = 'term' THEN 0.0 ELSE -round(sim, 9) END, quote) AS n FROM r) x WHERE n <= {LEXICAL}""")
 def lexical_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-1, FN-14: of each seed the names that hold its term, then those of similar trigrams; the best of
-    each (a top-k report).  Names meet seeds by shared trigrams, so a name without one makes no row."""
+    each (a top-k report).  Seeds are few and sent to all tasks; each different name is compared once."""
     seeds = spark.createDataFrame(SEEDS, "seed int, term string").withColumn("a", trigrams(F.col("term")))
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("quote"), "p_name", trigrams(F.col("p_name")).alias("b"))
-    met = names.select("quote", "p_name", F.size("b").alias("m"), F.explode("b").alias("t")).join(F.broadcast(seeds.select("seed", "term", F.size("a").alias("n"), F.explode("a").alias("t"))), "t")
-    shared = met.groupBy("seed", "quote").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first(F.contains(F.lower("p_name"), F.lower("term"))).alias("has"))
-    similar = F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 9)
-    found = shared.select("seed", "quote", F.when(F.col("has"), "term").otherwise("trigram").alias("channel"), similar.alias("similarity")).where((F.col("channel") == "term") | (F.col("similarity") > SIMILAR))
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("quote"), F.col("p_name").alias("name")).union(spark.createDataFrame(NAMED, "quote long, name string"))
+    different = named.select("name").distinct().withColumn("b", trigrams(F.col("name")))
+    common = F.size(F.array_intersect("a", "b"))
+    similar = F.coalesce(F.round(common / F.nullif(F.size("a") + F.size("b") - common, F.lit(0)), 9), F.lit(0.0))
+    met = different.join(F.broadcast(seeds), F.contains(F.lower("name"), F.lower("term")) | F.arrays_overlap("a", "b"))
+    found = met.select("seed", "name", F.when(F.contains(F.lower("name"), F.lower("term")), "term").otherwise("trigram").alias("channel"), similar.alias("similarity")).where((F.col("channel") == "term") | (F.col("similarity") > SIMILAR))
+    found = named.join(found, "name").select("seed", "quote", "channel", "similarity")
     return spark.sql(f"""SELECT seed, quote, channel, similarity FROM (SELECT *, row_number() OVER (PARTITION BY seed, channel ORDER BY CASE WHEN channel = 'term' THEN 0.0 ELSE -similarity END, quote) AS n FROM {{found}}) x WHERE n <= {LEXICAL}""", found=found)
 
 

@@ -14,7 +14,7 @@ from . import query
 from .relational import statement
 
 #: Names that reach every branch of the gates, beside the names of the tables.
-NAMES = [(-1, "G318 高速公路"), (-2, "湖北"), (-3, "四川省"), (-4, "某某集团"), (-5, "都江堰"), (-6, "app下载"), (-7, "此说存疑，或云异说"), (-8, None)]
+NAMES = [(-1, "G318 高速公路"), (-2, "湖北"), (-3, "四川省"), (-4, "某某集团"), (-5, "都江堰"), (-6, "app下载"), (-7, "此说存疑，或云异说"), (-8, None), (-9, "上海博物馆"), (-10, "重庆"), (-11, "广西"), (-12, "湖南与湖北")]
 _LITERALS = "(VALUES " + ", ".join(f"({i}, {'CAST(NULL AS VARCHAR)' if n is None else repr(n)})" for i, n in NAMES) + ") v(id, name)"
 _NAMED = f"SELECT * FROM {_LITERALS} UNION ALL SELECT p_partkey, p_name FROM part UNION ALL SELECT s_suppkey + 1000000000, s_name FROM supplier"
 
@@ -33,15 +33,17 @@ def entity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROVINCE_LIST = ", ".join(f"'{p}'" for p in gates.PROVINCES)
+# the regions of names, written out once more
+_REGION_LIST = "'湖北', '湖南', '四川', '重庆', '江苏', '江西', '安徽', '云南', '贵州', '青海', '西藏', '甘肃', '河南', '陕西', '浙江', '上海'"
 
 
 @query("name_predicates", f"""SELECT id, trim(coalesce(name, '')) IN ({_PROVINCE_LIST}) OR regexp_matches(trim(coalesce(name, '')), '{gates.PROVINCE_SUFFIX}') AS container,
   regexp_matches(coalesce(name, ''), '{gates.ENTERPRISE}') AS enterprise, regexp_matches(coalesce(name, ''), '{gates.DISPUTE}') AS disputed,
-  (SELECT min_by(p, i) FROM (SELECT unnest([{_PROVINCE_LIST}]) AS p, unnest(range({len(gates.PROVINCES)})) AS i) x WHERE contains(name, p)) AS region FROM ({_NAMED}) n""")
+  (SELECT min_by(p, i) FROM (SELECT unnest([{_REGION_LIST}]) AS p, unnest(range(16)) AS i) x WHERE contains(name, p)) AS region FROM ({_NAMED}) n""")
 def name_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-26, FN-27, FN-30: province containers, enterprises, disputes, and the first province a name holds."""
+    """FN-26, FN-27, FN-30: province containers, enterprises, disputes, and the first region of the list that a name holds."""
     name = F.coalesce("name", F.lit(""))
-    return _names(spark, sf_dir).select("id", gates.province_container(F.col("name")).alias("container"), name.rlike(gates.ENTERPRISE).alias("enterprise"), name.rlike(gates.DISPUTE).alias("disputed"), gates.first_held(F.col("name"), gates.PROVINCES).alias("region"))
+    return _names(spark, sf_dir).select("id", gates.province_container(F.col("name")).alias("container"), name.rlike(gates.ENTERPRISE).alias("enterprise"), name.rlike(gates.DISPUTE).alias("disputed"), gates.first_held(F.col("name"), gates.REGIONS).alias("region"))
 
 
 @query("safe_names", r"""SELECT page_id, regexp_replace(lower(url), '[^a-z0-9._-]', '_', 'g') AS lake,

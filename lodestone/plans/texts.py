@@ -108,36 +108,6 @@ def quote_bind_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes_bound(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("simhash64")
-def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-9, FN-10: votes of the 64 bits over every distinct piece, tested bit by bit.
-
-    Four bits are counted in one sum, in lanes of 16 bits: a text's first 8,000 characters have fewer pieces.
-    """
-    g = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.grams(F.substring("text", 1, 8000), 3)).alias("g")).select("doc_id", text.simhash_bits(F.col("g")).alias("h"))
-    lanes = F.lit(0x0001000100010001)
-    votes = g.groupBy("doc_id").agg(F.count("h").alias("n"), *(F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes)).alias(f"s{i}") for i in range(16)))
-    out = F.lit(0).cast("long")
-    for i in range(16):
-        for k in range(4):
-            ones = F.shiftrightunsigned(F.col(f"s{i}"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-            out = out.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i + 16 * k)).otherwise(F.lit(0).cast("long")))
-    return votes.select("doc_id", out.alias("simhash"))
-
-
-@query("near_dup_pairs")
-def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-11, JN-17: pairs within 6 bits; of 7 bands one is equal (pigeonhole), so candidates are exact.
-
-    Documents with the same simhash are one class and are not paired with each other.
-    """
-    h = simhash64(spark, sf_dir).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"))
-    bands = h.select("doc_id", "simhash", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", 9 * k).bitwiseAND(F.lit(511 if k < 6 else 1023)) for k in range(7)])).alias("band", "bits"))
-    a, b = bands.alias("a"), bands.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))).alias("distance")).where("distance <= 6").distinct()
-
-
 @query("title_jaccard", """
 WITH t AS (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '\\s', '', 'g')) AS x FROM part WHERE p_size = 1),
 g AS (SELECT p_partkey, p_brand, CASE WHEN length(x) >= 2 THEN list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, CAST(i AS BIGINT), 2))) ELSE [x] END AS s FROM t)
