@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import QUERIES, SQL, Query, analytics, answers, clusters, evidence, growth, knowledge, relational, resolution, texts  # noqa: F401  (they register their queries)
+from . import QUERIES, SQL, Query, admission, analytics, answers, clusters, evidence, growth, knowledge, relational, resolution, texts  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Query]:
