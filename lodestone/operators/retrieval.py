@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +13,33 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def trigrams(text: str) -> set[str]:
-    """Trigrams of the text without white space; a shorter text is its own."""
-    s = "".join((text or "").split())
-    return {s[i : i + 3] for i in range(len(s) - 2)} if len(s) >= 3 else {s}
+def trigrams(text: Column) -> Column:
+    """64-bit hashes of the distinct trigrams of the text without white space; a shorter text is its own."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    return F.when(F.length(flat) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(flat) - 2), lambda i: F.xxhash64(F.substr(flat, i, F.lit(3)))))).otherwise(F.array(F.xxhash64(flat)))
 
 
 def mmr(rows: DataFrame, most: int = 8, similar: float = 0.72, refill: int = 6) -> DataFrame:
-    """Diverse choice within seed(seed, id, cluster, score, text) groups of bounded size, by falling score.
+    """seed, rank, id: a diverse choice within seed(seed, id, cluster, score, text) groups of bounded size, by falling score.
 
     A row is passed over if its cluster has max(3, most // 4) chosen ones, or if its trigrams have a
     Jaccard similarity above ``similar`` with a chosen row's; the last two places don't ask for that.
     If fewer than min(most, refill) are chosen, the best rows fill up.  Ties go to the least id.
-    Callers rank rows first and pass 64 a seed at most."""
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        chosen: list[int] = []
-        said: list[set[str]] = []
-        used: dict[object, int] = {}
-        for i, (cluster, text) in enumerate(zip(g["cluster"], g["text"], strict=True)):
-            own = trigrams(text)
-            near = max((len(own & x) / max(1, len(own | x)) for x in said), default=0.0)
-            full = used.get(cluster, 0) >= max(3, most // 4)
-            if len(chosen) < most and not full and (near <= similar or len(chosen) >= most - 2):
-                chosen.append(i)
-                said.append(own)
-                used[cluster] = used.get(cluster, 0) + 1
-        if len(chosen) < min(most, refill):
-            chosen = sorted({*chosen, *range(min(most, len(g)))})[:most]
-        return pd.DataFrame({"seed": g["seed"][chosen], "rank": range(len(chosen)), "id": g["id"][chosen]})
-
-    return rows.groupBy("seed").applyInPandas(choose, "seed string, rank int, id long")
+    Callers rank rows first and pass 64 a seed at most; each seed's rows are folded as one array."""
+    item = F.struct((-F.col("score")).alias("below"), F.col("id"), F.col("cluster"), trigrams(F.col("text")).alias("said"))
+    groups = rows.groupBy("seed").agg(F.array_sort(F.collect_list(item)).alias("g"))
+
+    def near(i: Column, j: Column) -> Column:
+        a, b = F.get("g", i)["said"], F.get("g", j)["said"]
+        return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) > similar
+
+    def step(chosen: Column, i: Column) -> Column:
+        same = F.size(F.filter(chosen, lambda j: F.get("g", j)["cluster"].eqNullSafe(F.get("g", i)["cluster"])))
+        fits = (F.size(chosen) < most) & (same < max(3, most // 4)) & ((F.size(chosen) >= most - 2) | ~F.exists(chosen, lambda j: near(i, j)))
+        return F.when(fits, F.array_append(chosen, i)).otherwise(chosen)
+
+    chosen = F.aggregate(F.sequence(F.lit(0), F.size("g") - 1), F.array().cast("array<int>"), step)
+    best = F.sequence(F.lit(0), F.least(F.lit(most), F.size("g")) - 1)
+    picked = groups.withColumn("chosen", chosen)
+    picked = picked.withColumn("chosen", F.when(F.size("chosen") < min(most, refill), F.slice(F.array_sort(F.array_union("chosen", best)), 1, most)).otherwise(F.col("chosen")))
+    return picked.select("seed", F.posexplode(F.transform("chosen", lambda i: F.get("g", i)["id"])).alias("rank", "id"))
