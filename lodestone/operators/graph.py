@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import released, staged
+
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, hop of all nodes within ``depth`` hops of start(node), by the least hop.
@@ -22,39 +24,35 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return known
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's least node) by minimum labels with a jump to the label's label.
 
-    Each round is checkpointed where the session names a folder for it; rounds double the
-    distance that a label has come, so 20 do for components of a million nodes in a row.
-    """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    shared = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for _ in range(rounds):
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("m"))
-        new = label.join(near, label.node == near.a, "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
+    Rounds go on until nothing changes; each is a staged table, and doubles the distance that a label has come."""
+    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct(), "edges")
+    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        near = both.join(label.select("node", "root"), both.b == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
+        new = label.select("node", "root").join(near, F.col("node") == near.a, "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))
         jump = new.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = new.join(jump, new.root == jump["at"], "left").select("node", F.coalesce("next", "root").alias("root"))
-        new = new.checkpoint() if shared else new.persist()
-        changed = new.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        new = staged(new.join(jump, new.root == jump["at"], "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old"), "labels")
+        released(label)
         label = new
-        if not changed:
-            break
-    return label
+        if new.where("root <> old").isEmpty():
+            return label.select("node", "root")
 
 
 def cycles(parents: DataFrame) -> DataFrame:
     """node of every node on a cycle of child-to-parent edges(a, b), each child with one parent.
 
-    Pointers double until they pass as many steps as there are nodes: what is still inside is on,
-    or leads into, a cycle; nodes that such pointers end at are on one.
-    """
-    hop = parents.select("a", "b").where("a is not null and b is not null")
-    n = hop.count()
-    step = 1
+    Pointers double, a staged table a round, until they pass as many steps as there are nodes: what is still inside is
+    on, or leads into, a cycle; nodes that such pointers end at are on one."""
+    hop = staged(parents.select("a", "b").where("a is not null and b is not null"), "parents")
+    n, step = hop.count(), 1
     while step <= n:
         nxt = hop.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        hop = hop.join(nxt, "b").select("a", F.col("c").alias("b"))
-        step *= 2
+        new = staged(hop.join(nxt, "b").select("a", F.col("c").alias("b")), "parents")
+        released(hop)
+        hop, step = new, 2 * step
+        if hop.isEmpty():
+            break
     return hop.select(F.col("b").alias("node")).distinct()

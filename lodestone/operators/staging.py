@@ -26,12 +26,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back."""
     path = f"{shared_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def released(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+    path = getattr(df, "_staged", None)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
