@@ -22,10 +22,21 @@ def url_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", url.canonicalize(F.col("url")).alias("canonical"), url.domain_of(F.col("url")).alias("domain"))
 
 
-@query("source_classify", r"SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '\.gov\.cn$') THEN 'Government' WHEN regexp_matches(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '(museum|bowuguan|library|archives|dangan)') THEN 'Museum' ELSE 'GeneralWebsite' END AS source_type FROM pages")
+#: Hosts that reach every rung, and some that come close.
+HOSTS = ["www.gov.cn", "wwwxgov.cn", "moj.gov.cn", "gov.cn", "pku.edu.cn", "kns.cnki.net", "www.people.com.cn", "wh.hubei.gov.cn", "zh.wikipedia.org", "city-museum.org", "wwwlibrary.com", "www.zhihu.com", "v.qq.com", "example.com", "MOJ.GOV.CN:8080", "www.cctv.com", "shanghai.archives.sohu.com"]
+_HOSTS = "(VALUES " + ", ".join(f"({-1 - i}, 'http://{h}/x')" for i, h in enumerate(HOSTS)) + ") v(page_id, url)"
+#: The ladder once more, as suffixes and parts of hosts.
+_ENDS = {"AcademicJournal": "cnki.net wanfangdata.com.cn cssn.cn cnki.com.cn cqvip.com", "Newspaper": "people.com.cn xinhuanet.com news.cn cctv.com cntv.cn chinanews.com chinanews.com.cn thepaper.cn gmw.cn cnr.cn legaldaily.com.cn china.com.cn china.com yicai.com caixin.com hubei.gov.cn"}
+
+
+@query("source_classify", f"""WITH p AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM {_HOSTS}), h AS (SELECT page_id, lower(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1)) AS h FROM p)
+SELECT page_id, CASE WHEN h IN ('www.gov.cn', 'www.sach.gov.cn', 'www.ncha.gov.cn', 'www.whc.unesco.org') OR suffix(h, '.gov.cn') THEN 'Government' WHEN suffix(h, '.edu.cn') THEN 'University'
+  {" ".join("WHEN " + " OR ".join(f"suffix(h, '{e}')" for e in ends.split()) + f" THEN '{kind}'" for kind, ends in _ENDS.items())} WHEN suffix(h, 'wikipedia.org') OR suffix(h, 'britannica.com') THEN 'GeneralWebsite'
+  WHEN contains(h, 'museum') OR contains(h, 'bowuguan') OR contains(h, 'library') OR contains(h, 'archives') OR contains(h, 'dangan') THEN 'Museum' ELSE 'GeneralWebsite' END AS source_type FROM h""")
 def source_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-7."""
-    return table(spark, sf_dir, "pages").select("page_id", url.source_class(url.domain_of(F.col("url")))["source_type"].alias("source_type"))
+    """FN-7: the class of each page's host, and of literal hosts."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url").union(spark.createDataFrame([(-1 - i, f"http://{h}/x") for i, h in enumerate(HOSTS)], "page_id long, url string"))
+    return pages.select("page_id", url.source_class(url.domain_of(F.col("url")))["source_type"].alias("source_type"))
 
 
 @query("html_main_text")
@@ -53,20 +64,6 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.split_point(F.col("text")).alias("cut"))
 
 
-@query("quote_bind", "SELECT doc_id, item_id, 'EXACT' AS match FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
-def quote_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-17's EXACT only, as its SQL has it, of quotes of four words or more; ``quote_bind_all`` does the rest.
-
-    Quotes meet documents by their words 2 to 4, not by a nested loop.
-    """
-    words = F.split("text", " ")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words, 2, 3), " ").alias("key"))
-    d = table(spark, sf_dir, "documents")
-    keys = d.select("doc_id", "text", F.split("text", " ").alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " ")))).alias("key"))
-    near = keys.join(quotes, "key").select("doc_id", "item_id", text.bind(F.col("quote"), F.col("text")).alias("match"))
-    return near.where("match = 'EXACT'").distinct()
-
-
 _PIECE = 6
 
 
@@ -102,25 +99,30 @@ def quotes_bound(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     return bound.select("doc_id", "item_id", "match", part.alias("part")).distinct()
 
 
-@query("quote_bind_all")
+_FORM = "regexp_replace(regexp_replace({x}, '[[:space:]　，。、；：？！“”‘’\"''（）()\\[\\]【】《》<>—\\-–_…·,.:;?!※◆●★☆→↑↓〓◎§]+', '', 'g'), '[⺀-⺟⻀-⻳〇○●◇◆□■△▲▽]', '', 'g')"
+_CUT = "list_transform(range(0, CAST(ceil(length(text) / 1200.0) AS BIGINT)), lambda i: {x})"
+_CHUNK = "substr(text, i * 1200 + 1, 1200)"
+_BIND = f"""WITH d AS MATERIALIZED (SELECT DISTINCT doc_id, text, {_FORM.format(x="text")} AS form FROM documents WHERE text IS NOT NULL), q AS (SELECT DISTINCT item_id, text AS quote, {_FORM.format(x="text")} AS q_form FROM benchmark WHERE text <> ''),
+m AS (SELECT *, CASE WHEN contains(text, quote) THEN 'EXACT' ELSE 'NORMALIZED' END AS match FROM d JOIN q ON contains(text, quote) OR (length(q_form) >= 6 AND contains(form, q_form)))
+SELECT DISTINCT doc_id, item_id, match, CAST(coalesce(list_position({_CUT.format(x=f"contains({_CHUNK}, quote)")}, true), CASE WHEN q_form <> '' THEN list_position({_CUT.format(x=f"contains({_FORM.format(x=_CHUNK)}, q_form)")}, true) END,
+  CASE WHEN length(q_form) >= 16 THEN list_position({_CUT.format(x=f"contains({_FORM.format(x=_CHUNK)}, left(q_form, 16))")}, true) END) - 1 AS INT) AS part FROM m"""
+
+
+@query("quote_bind", _BIND)
+@query("quote_bind_all", _BIND)
 def quote_bind_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-16, FN-17, FN-21: EXACT and NORMALIZED bindings and their chunk; tested against brute force."""
+    """FN-16, FN-17, FN-21: EXACT and NORMALIZED bindings of all quotes and their chunk."""
     return quotes_bound(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("title_jaccard", """
-WITH t AS (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '\\s', '', 'g')) AS x FROM part WHERE p_size = 1),
-g AS (SELECT p_partkey, p_brand, CASE WHEN length(x) >= 2 THEN list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, CAST(i AS BIGINT), 2))) ELSE [x] END AS s FROM t)
-SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(len(list_intersect(a.s, b.s)) AS BIGINT) AS common, CAST(len(list_distinct(list_concat(a.s, b.s))) AS BIGINT) AS either FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
-def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-12, FN-13: within a block of equal brand, of the parts its SQL reads (size 1); ``title_jaccard_all`` takes all."""
-    g = table(spark, sf_dir, "part").where("p_size = 1").select("p_partkey", "p_brand", text.grams(F.lower("p_name"), 2).alias("s"))
-    a, b = g.alias("a"), g.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.size(F.array_intersect("a.s", "b.s")).cast("long").alias("common"), F.size(F.array_union("a.s", "b.s")).cast("long").alias("either"))
+_TITLES = r"""WITH t AS (SELECT p_partkey, p_brand, lower(regexp_replace(p_name, '\s', '', 'g')) AS x FROM part),
+g AS (SELECT p_partkey, p_brand, CASE WHEN length(x) >= 2 THEN list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, CAST(i AS BIGINT), 2))) ELSE [x] END AS s FROM t),
+p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(len(list_intersect(a.s, b.s)) AS BIGINT) AS common, CAST(len(list_distinct(list_concat(a.s, b.s))) AS BIGINT) AS either FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+SELECT * FROM p WHERE common > 0"""
 
 
-@query("title_jaccard_all")
+@query("title_jaccard", _TITLES)
+@query("title_jaccard_all", _TITLES)
 def title_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-12 over all parts: pairs of a brand that share a 2-gram (of others the similarity is 0).
 
