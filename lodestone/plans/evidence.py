@@ -102,8 +102,16 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows) + ")"
 
 
-@query("structure_verify", f"""WITH i AS (SELECT * FROM {_values(_ITEMS)} v(object, kind, item, field, value, quotes)),
-b AS (SELECT object, 'Q' || n AS q, resource FROM {_values(_BUNDLE)} v(object, n, resource)),
+_KINDS_OF = {k: [*fs, *{"PROCESS": ["stages", "stages"], "TRADITION": ["regional_variants"]}.get(k, [])] for k, fs in _ALL.items()}
+_MADE_ITEMS = f"""SELECT l_orderkey + 100 AS object, CASE l_orderkey % 3 WHEN 0 THEN 'FLOW' WHEN 1 THEN 'TRADITION' ELSE 'PROCESS' END AS kind, line AS item,
+  CASE l_orderkey % 3 {" ".join(f"WHEN {i} THEN CASE line % {len(_KINDS_OF[k])} " + " ".join(f"WHEN {j} THEN '{f}'" for j, f in enumerate(_KINDS_OF[k])) + " END" for i, k in enumerate(("FLOW", "TRADITION", "PROCESS")))} END AS field,
+  CASE WHEN l_quantity = 13 THEN NULL WHEN l_quantity = 14 THEN ' ' ELSE 'v' || CAST(l_partkey % 100 AS STRING) END AS value, 'Q' || CAST(l_partkey % 5 AS STRING) || ' Q' || CAST(l_suppkey % 7 AS STRING) AS quotes
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS line FROM lineitem ) l """
+_MADE_BUNDLE = "SELECT o_orderkey + 100 AS object, CAST(n AS INT) AS n, CAST(o_custkey * 10 + CASE WHEN n < o_custkey % 5 THEN 0 ELSE n END AS BIGINT) AS resource FROM orders CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) q"
+
+
+@query("structure_verify", f"""WITH i AS (SELECT * FROM {_values(_ITEMS)} v(object, kind, item, field, value, quotes) UNION ALL SELECT object, kind, item, field, value, string_split(quotes, ' ') FROM ({_MADE_ITEMS}) m),
+b AS (SELECT object, 'Q' || n AS q, resource FROM {_values(_BUNDLE)} v(object, n, resource) UNION ALL SELECT object, 'Q' || n, resource FROM ({_MADE_BUNDLE}) m),
 k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{f}', {f in structures.KEY[k]})" for k, fs in _ALL.items() for f in fs)}) v(kind, field, key)),
 v AS (SELECT i.*, (SELECT count(*) FROM b WHERE b.object = i.object AND list_contains(i.quotes, b.q)) AS used FROM i),
 lists AS (SELECT object, kind, field FROM v WHERE trim(coalesce(value, '')) <> '' AND used > 0 AND ((kind = 'PROCESS' AND field = 'stages') OR (kind = 'TRADITION' AND field = 'regional_variants'))
@@ -117,7 +125,13 @@ o AS (SELECT object, kind, (SELECT count(*) FROM k WHERE k.kind = i.kind) AS req
 SELECT object, kind, supported, round(supported / required, 3) AS coverage, resources,
   CASE WHEN held < keys THEN CASE WHEN kind = 'FLOW' THEN 'REJECT' ELSE 'CANDIDATE' END WHEN resources >= 2 AND supported >= 0.85 * required THEN 'ADMITTED' WHEN resources >= 1 THEN 'SUPPORTED' ELSE 'CANDIDATE' END AS decision FROM o""")
 def structure_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AD-14: decisions on the literal cases."""
-    objects = spark.createDataFrame([(o, k) for o, k, _, _ in CASES], "object int, kind string")
-    items = spark.createDataFrame([(o, i, f, v, q) for o, _, i, f, v, q in _ITEMS], "object int, item int, field string, value string, quotes array<string>")
-    return structures.verify(objects, items, spark.createDataFrame(_BUNDLE, "object int, n int, resource int"))
+    """AD-14: decisions on the literal cases, and on an object of each order whose lines give its fields and quotes."""
+    def made(sql: str) -> DataFrame:
+        return spark.sql(sql.replace("FROM lineitem ", "FROM {lineitem} AS lineitem ").replace("FROM orders ", "FROM {orders} AS orders "), **{t: table(spark, sf_dir, t) for t in ("lineitem", "orders") if f"FROM {t} " in sql})
+
+    lines = made(_MADE_ITEMS)
+    objects = spark.createDataFrame([(o, k) for o, k, _, _ in CASES], "object long, kind string").union(lines.select("object", "kind").distinct())
+    items = spark.createDataFrame([(o, i, f, v, q) for o, _, i, f, v, q in _ITEMS], "object long, item int, field string, value string, quotes array<string>")
+    items = items.union(lines.select("object", "item", "field", "value", F.split("quotes", " ")))
+    bundle = spark.createDataFrame(_BUNDLE, "object long, n int, resource long").union(made(_MADE_BUNDLE))
+    return structures.verify(objects, items, bundle)

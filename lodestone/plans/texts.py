@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, text, url
+from ..operators.staging import staged
 from ..sources import table
 from . import query
 
@@ -151,7 +152,8 @@ def topic_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.topic(F.col("text")).alias("topic"))
 
 
-@query("query_terms")
+@query("query_terms", r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[\s,.;:!?，。；：！？、]+'), lambda x: length(x) >= 2 AND x NOT IN ('the', 'a', 'of', 'and', 'to', 'in', 'is', 'for')) AS l FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], ' ') AS terms FROM w""")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-35, WN-16: first-seen order."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.query_terms(F.col("text")), " ").alias("terms"))
@@ -173,6 +175,23 @@ def ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "h").select("doc_id", F.when(F.col("doc_id") == F.col("first"), "registered").otherwise("duplicate_text").alias("status"))
 
 
+_DIGITS = "一二三四五六七八九"
+#: Chinese numerals of 1 to 99 in SQL, of an expression n.
+_NUMERAL = "(CASE WHEN {n} >= 20 THEN substr('" + _DIGITS + "', CAST(floor({n} / 10) AS INT), 1) ELSE '' END || CASE WHEN {n} >= 10 THEN '十' ELSE '' END || CASE WHEN {n} % 10 > 0 THEN substr('" + _DIGITS + "', CAST({n} % 10 AS INT), 1) ELSE '' END)"
+_DATED = f"""SELECT CASE o_orderkey % 8 WHEN 0 THEN CAST(year(o_orderdate) AS STRING) || '年' WHEN 1 THEN '公元前' || CAST(o_custkey % 900 + 1 AS STRING) || '年' WHEN 2 THEN '民国' || {_NUMERAL.format(n="(o_custkey % 37 + 1)")} || '年' WHEN 3 THEN CAST(o_custkey % 10 + 12 AS STRING) || '世纪'
+  WHEN 4 THEN '光绪' || {_NUMERAL.format(n="(o_custkey % 34 + 1)")} || '年' WHEN 5 THEN '唐代' WHEN 6 THEN '贞观' || {_NUMERAL.format(n="(o_custkey % 23 + 1)")} || '年' ELSE '编号' END AS raw, o_orderkey % 8 AS k, o_custkey AS c, o_orderdate AS d FROM orders """
+
+
+@query("calendar_dates", f"""SELECT raw, CAST(CASE k WHEN 0 THEN year(d) WHEN 1 THEN -(c % 900 + 1) WHEN 2 THEN 1911 + c % 37 + 1 WHEN 3 THEN (c % 10 + 11) * 100 WHEN 4 THEN 1874 + c % 34 + 1 WHEN 5 THEN 618 WHEN 6 THEN 626 + c % 23 + 1 END AS INT) AS valid_from,
+  CAST(CASE k WHEN 0 THEN year(d) WHEN 1 THEN -(c % 900 + 1) WHEN 2 THEN 1911 + c % 37 + 1 WHEN 3 THEN (c % 10 + 12) * 100 - 1 WHEN 4 THEN 1874 + c % 34 + 1 WHEN 5 THEN 907 WHEN 6 THEN 626 + c % 23 + 1 END AS INT) AS valid_to, CASE k WHEN 2 THEN '民国' WHEN 4 THEN '清' WHEN 5 THEN '唐' WHEN 6 THEN '唐' END AS dynasty,
+  count(*) AS n FROM ({_DATED}) x GROUP BY ALL""")
+def calendar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-22, FN-39: times written the ways that occur, made of every order's date and customer; each different text is read once."""
+    raw = spark.sql(_DATED.replace("FROM orders ", "FROM {orders} AS orders "), orders=table(spark, sf_dir, "orders")).groupBy("raw").agg(F.count("*").alias("n"))
+    raw = staged(raw, "calendar")  # the rules are code enough for a stage of their own
+    return raw.withColumn("p", calendar.parse(F.col("raw"))).select("raw", "p.valid_from", "p.valid_to", "p.dynasty", "n")
+
+
 _CALENDAR = ["光绪二十五年", "民国二十七年", "贞观三年", "1984年", "公元前256年", "唐代", "明朝万历年间", "20世纪初", "90年代", "庚子年", "1840年", "南宋绍兴年间", "1927年8月1日"]
 _EXPECTED = [(1899, 1899, "清"), (1938, 1938, "民国"), (629, 629, "唐"), (1984, 1984, None), (-256, -256, None), (618, 907, "唐"), (1368, 1644, "明"), (1900, 1999, None), (1900, 1909, None), (1900, 1900, None), (1840, 1840, None), (1127, 1279, "南宋"), (1927, 1927, None)]
 
