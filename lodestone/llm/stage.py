@@ -1,7 +1,7 @@
 """Shared-folder staging: cut lineage with a written table every executor can read.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-(tests on one machine) a folder of this process is made, and the setting filled in.
+The folder is the session's ``spark.checkpoint.dir``.  Only on one machine, as in tests,
+it may be unset; then a folder of this process is made, and the setting filled in.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
