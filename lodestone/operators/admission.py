@@ -87,3 +87,23 @@ def audit(decisions: DataFrame, rule_version: str) -> DataFrame:
     """One audit row a draft: kind, id, decision, rule_version and a deterministic key, so that writing again changes nothing."""
     key = F.concat(F.lit("adm-"), F.substring(F.sha1(F.concat_ws("|", F.lit("claim"), F.col("id").cast("string"), "status", F.lit(rule_version))), 1, 16))
     return decisions.select(key.alias("key"), F.lit("claim").alias("kind"), "id", F.col("status").alias("decision"), F.lit(rule_version).alias("rule_version"), F.coalesce("failed_stage", F.lit("")).alias("reason"))
+
+
+EVENT_STAGES = ["event_schema_validation", "entity_resolution", "time_validation", "place_validation", "participant_validation", "evidence_validation", "scope", "conflict_detection", "admission"]
+
+
+def admit_events(events: DataFrame) -> DataFrame:
+    """id, status, failed_stage, match, conflict_with of events(id, name, type, entity, time_text, period, place, participants, quote, chunk, scope).
+
+    Of events of one name and type that pass, the first is admitted and the others are contested with it; blank texts are missing."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    rows = events.withColumn("match", text.bind(F.col("quote"), F.col("chunk")))
+    failed = (
+        F.when(blank("name") | blank("type"), EVENT_STAGES[0]).when(F.col("entity").isNull(), EVENT_STAGES[1]).when(blank("time_text") & blank("period"), EVENT_STAGES[2]).when(blank("place"), EVENT_STAGES[3])
+        .when(F.coalesce("participants", F.lit(0)) == 0, EVENT_STAGES[4]).when(F.col("match") == "FAILED", EVENT_STAGES[5]).when(~F.coalesce(F.col("scope").isin(ADMITTED_SCOPES), F.lit(False)), EVENT_STAGES[6])
+    )
+    rows = staged(rows.withColumn("failed_stage", failed).select("id", "name", "type", "match", "failed_stage"), "events")
+    first = rows.where("failed_stage IS NULL").groupBy("name", "type").agg(F.min("id").alias("first"))
+    out = rows.join(first, ["name", "type"], "left").withColumn("conflict_with", F.when(F.col("failed_stage").isNull() & (F.col("id") != F.col("first")), F.col("first")))
+    status = F.when(F.col("failed_stage").isNotNull(), "REJECTED").when(F.col("conflict_with").isNotNull(), "CONTESTED").otherwise("ADMITTED")
+    return out.select("id", status.alias("status"), "failed_stage", "match", "conflict_with")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import QUERIES, SQL, Query, admission, analytics, answers, bundles, clusters, evidence, growth, knowledge, planning, relational, resolution, stores, texts, validation, views  # noqa: F401  (they register their queries)
+from . import QUERIES, SQL, Query, admission, analytics, answers, bundles, clusters, evidence, growth, intake, knowledge, planning, relational, resolution, stores, texts, validation, views  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Query]:
