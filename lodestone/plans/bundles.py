@@ -119,3 +119,65 @@ def bundle_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT-7, RT-8: the diverse choice of each pool, numbered and cut; the choice is tested against a plain loop."""
     return B.bundle(_scored(spark, sf_dir))
+
+
+#: Systems that a question names.
+SYSTEMS = [(1, "ASIA"), (1, "EUROPE"), (2, "AFRICA"), (3, "nowhere")]
+_SYSTEMS = "(VALUES " + ", ".join(f"({s}, '{n}')" for s, n in SYSTEMS) + ") y(seed, name)"
+_CAPS = {"hydro": 12, "traditions": 8, "processes": 8, "flows": 6, "memberships": 12, "interpretations": 6}
+
+
+def _section(name: str, rows: str, most: int) -> str:
+    return f"SELECT seed, '{name}' AS section, CAST(r AS INT) AS r, item FROM (SELECT seed, item, row_number() OVER (PARTITION BY seed ORDER BY o, item) AS r FROM ({rows}) x) z WHERE r <= {most}"
+
+
+_HELD = _HAS.format(x="contains(lower({c}), lower(t))")
+_ASSEMBLY = " UNION ALL ".join([
+    _section("systems", f"SELECT seed, name AS item, 0 AS o FROM {_SYSTEMS} WHERE name IN (SELECT r_name FROM region)", 99),
+    _section("hydro", f"SELECT seed, p_name || ' ' || p_partkey AS item, p_partkey AS o FROM part JOIN {_SEEDS} ON {_HELD.format(c='p_name')}", 12),
+    _section("phases", f"SELECT seed, CAST(y AS VARCHAR) AS item, y AS o FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders) q, {_SEEDS}", 99),
+    _section("traditions", f"SELECT seed, c_name AS item, c_custkey AS o FROM customer JOIN {_SEEDS} ON {_HELD.format(c='c_mktsegment')} OR {_HELD.format(c='c_name')}", 8),
+    _section("processes", f"SELECT seed, s_name AS item, s_suppkey AS o FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN {_SEEDS} ON {_HELD.format(c='n_name')} OR {_HELD.format(c='s_name')}", 8),
+    _section("flows", f"SELECT seed, event_type || ' ' || event_id AS item, event_id AS o FROM events JOIN {_SEEDS} ON {_HELD.format(c='event_type')}", 6),
+    _section("memberships", f"SELECT seed, s_name AS item, -n AS o FROM (SELECT s_name, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE NOT regexp_matches(s_name, '(0|7)$') GROUP BY s_name) m, {_SEEDS}", 12),
+    _section("interpretations", f"SELECT seed, CAST(doc_id AS VARCHAR) AS item, doc_id AS o FROM (SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE {ROLE_SQL} <> 'REJECT') i, {_SEEDS}", 6),
+])
+
+
+@query("question_assembly", f"SELECT * FROM ({_ASSEMBLY}) a")
+def question_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT-17: what a question is answered from, eight sections with their limits; the ninth, its evidence, is ``evidence_bundle``.
+
+    Sections that don't look at terms are limited before they meet the seeds."""
+    seeds = F.broadcast(_seeds(spark).select("seed", "terms"))
+    t = lambda name: table(spark, sf_dir, name)
+
+    def held(*columns: str):
+        return F.exists("terms", lambda x: _either([F.contains(F.lower(c), F.lower(x)) for c in columns]))
+
+    def top(name: str, rows: DataFrame, most: int) -> DataFrame:
+        return spark.sql(f"SELECT seed, '{name}' AS section, CAST(r AS INT) AS r, item FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY o, item) AS r FROM {{rows}}) x WHERE r <= {most}", rows=rows)
+
+    ids = lambda rows, item, o: rows.select("seed", F.col(item).cast("string").alias("item") if isinstance(item, str) else item.alias("item"), F.col(o).cast("long").alias("o"))
+    named = spark.createDataFrame(SYSTEMS, "seed int, name string").join(t("region").select(F.col("r_name").alias("name")), "name", "left_semi").withColumn("o", F.lit(0))
+    years = t("orders").select(F.year("o_orderdate").alias("y")).distinct()
+    made = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    members = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where(~F.col("s_name").rlike("(0|7)$")).groupBy("s_name").agg((-F.sum("n")).alias("o")).orderBy("o", "s_name").limit(_CAPS["memberships"])
+    first = t("documents").select("doc_id").join(t("labels"), "doc_id").where(F.expr(ROLE_SQL) != "REJECT").select("doc_id").orderBy("doc_id").limit(_CAPS["interpretations"])
+    parts = [
+        top("systems", ids(named, "name", "o"), 99), top("hydro", ids(t("part").join(seeds, held("p_name")), F.concat_ws(" ", "p_name", "p_partkey"), "p_partkey"), _CAPS["hydro"]), top("phases", ids(years.crossJoin(seeds), "y", "y"), 99),
+        top("traditions", ids(t("customer").join(seeds, held("c_mktsegment", "c_name")), "c_name", "c_custkey"), _CAPS["traditions"]), top("processes", ids(made.join(seeds, held("n_name", "s_name")), "s_name", "s_suppkey"), _CAPS["processes"]),
+        top("flows", ids(t("events").join(seeds, held("event_type")), F.concat_ws(" ", "event_type", "event_id"), "event_id"), _CAPS["flows"]), top("memberships", ids(members.crossJoin(seeds), "s_name", "o"), _CAPS["memberships"]),
+        top("interpretations", ids(first.crossJoin(seeds), "doc_id", "doc_id"), _CAPS["interpretations"]),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _either(conditions: list):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
