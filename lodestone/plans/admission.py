@@ -56,8 +56,8 @@ z AS MATERIALIZED (SELECT f.id, f.failed, CASE WHEN f.failed = 2 AND f.f2a THEN
   FROM f LEFT JOIN w ON w.id = f.id LEFT JOIN c ON c.id = f.id)"""
 
 
-@query("claim_gate", f"""WITH {_PLAIN} SELECT id, status, failed_stage, match, CASE WHEN failed > 0 THEN 0 WHEN status = 'CONTESTED' THEN 30 ELSE least(95, 35 + 15 * least(2, independent - 1) + CASE WHEN authority IN ('S', 'A') THEN 15 ELSE 0 END
-  + CASE WHEN match = 'EXACT' THEN 10 ELSE 0 END + CASE WHEN time_text IS NULL THEN 0 ELSE 10 END + CASE WHEN predicate = 'associated_with' THEN 0 ELSE 10 END) END AS confidence, independent, resources, sources, evidence, conflict_with FROM z""")
+@query("claim_gate", f"""WITH {_PLAIN} SELECT id, status, failed_stage, match, CAST(CASE WHEN failed > 0 THEN 0 WHEN status = 'CONTESTED' THEN 30 ELSE least(95, 35 + 15 * least(2, independent - 1) + CASE WHEN authority IN ('S', 'A') THEN 15 ELSE 0 END
+  + CASE WHEN match = 'EXACT' THEN 10 ELSE 0 END + CASE WHEN time_text IS NULL THEN 0 ELSE 10 END + CASE WHEN predicate = 'associated_with' THEN 0 ELSE 10 END) END AS INT) AS confidence, CAST(independent AS BIGINT) AS independent, CAST(resources AS BIGINT) AS resources, CAST(sources AS BIGINT) AS sources, CAST(evidence AS BIGINT) AS evidence, conflict_with FROM z""")
 def claim_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AD-4, AG-6, AG-17: all ten stages, what earlier drafts support and contest, and the confidence."""
     return decisions(spark, sf_dir)
