@@ -134,7 +134,7 @@ def test_quotes_link_to_originals(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, rel = Q.queries()[name](spark, str(DATA)), con.sql(Q.oracle_sql()[name])
     cols = df.columns
