@@ -15,8 +15,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """64-bit hashes of the distinct trigrams of the text without white space; a shorter text is its own."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    return F.when(F.length(flat) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(flat) - 2), lambda i: F.xxhash64(F.substr(flat, i, F.lit(3)))))).otherwise(F.array(F.xxhash64(flat)))
+    def of(c: Column) -> Column:
+        return F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.xxhash64(F.concat(*(F.get(c, i + j) for j in range(3))))))).otherwise(F.array(F.xxhash64(F.array_join(c, ""))))
+
+    # the characters are bound as a lambda's variable, so they are made once a text
+    return F.get(F.transform(F.array(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), "")), of), F.lit(0))
 
 
 def mmr(rows: DataFrame, most: int = 8, similar: float = 0.72, refill: int = 6) -> DataFrame:
@@ -31,7 +34,9 @@ def mmr(rows: DataFrame, most: int = 8, similar: float = 0.72, refill: int = 6)
 
     def near(i: Column, j: Column) -> Column:
         a, b = F.get("g", i)["said"], F.get("g", j)["said"]
-        return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)) > similar
+        m, n = F.size(a), F.size(b)
+        common = F.size(F.array_intersect(a, b))
+        return (F.least(m, n) / F.greatest(m, n) > similar) & (common / (m + n - common) > similar)
 
     def step(chosen: Column, i: Column) -> Column:
         same = F.size(F.filter(chosen, lambda j: F.get("g", j)["cluster"].eqNullSafe(F.get("g", i)["cluster"])))

@@ -1,8 +1,13 @@
 """Shapes of plans and steps whose work must not outgrow the tables."""
 
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import arrivals
+from lodestone.operators import arrivals, retrieval
+from lodestone.operators import resolution as R
+from lodestone.plans import QUERIES
 
 
 def plan(df):
@@ -27,3 +32,13 @@ def test_pieces_are_no_rows(spark):
 
     assert got == {1: votes("abc", "bcd"), 2: votes("ab"), 3: 0, 4: 0, 5: votes("abc", "bc𠀀", "c𠀀d", "xyz"), None: votes("abc", "bcd")}
     assert "Generate" not in plan(out)
+
+
+def test_trigrams_of_long_lines_take_one_pass(spark):
+    rng = np.random.default_rng(2)
+    line = "".join(rng.choice(list("abcdefgh "), 60_000))
+    began = time.monotonic()
+    got = spark.createDataFrame([(line,), ("a b",), ("",), (None,)], "t string").select(retrieval.trigrams(F.col("t")).alias("g")).collect()
+    assert time.monotonic() - began < 20
+    flat = line.replace(" ", "")
+    assert len(got[0]["g"]) == len({flat[i:i + 3] for i in range(len(flat) - 2)}) and [len(r["g"]) for r in got[1:]] == [1, 1, 1]
