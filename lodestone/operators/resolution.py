@@ -19,8 +19,10 @@ from ..functions import text
 from .retrieval import cosine
 from .staging import staged
 
-#: Similar entities of a mention, their least cosine, and pivots of the index (a bound on what the driver holds).
-MOST, LEAST, PIVOTS = 3, 0.80, 64
+#: Similar entities of a mention, their least cosine, pivots of the index (a bound on what the driver holds), and rows of either side that meet in one task.
+MOST, LEAST, PIVOTS, TILE = 3, 0.80, 64, 4096
+#: Cosines closer than this are left to the exact expression.
+CLOSE = 1e-7
 # Relations of descent that a quote must prove.
 DESCENT = ["historical_name_of", "successor_of", "predecessor_of"]
 
@@ -41,16 +43,47 @@ def _angles(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return f
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of unit length; zero vectors stay."""
+    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    size = np.linalg.norm(x, axis=1)
+    return x / np.where(size > 0, size, 1.0)[:, None]
+
+
+def _closest(most: int, least: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """mention, entity, w, v of the pairs of a tile that may be among the ``most`` closest of their mention."""
+
+    def f(m: pa.Table, e: pa.Table) -> pa.Table:
+        rows, cols = [np.empty(0, int)], [np.empty(0, int)]
+        if m.num_rows and e.num_rows:
+            a, b = _vectors(m["w"]), _vectors(e["v"])
+            for at in range(0, len(a), 256):
+                c = a[at:at + 256] @ b.T
+                bound = np.partition(c, -most, axis=1)[:, -most] if c.shape[1] > most else np.full(len(c), least)
+                i, j = np.nonzero(c >= np.maximum(bound, least)[:, None] - CLOSE)
+                rows.append(i + at)
+                cols.append(j)
+        i, j = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        return pa.table({"mention": m["mention"].take(i), "entity": e["entity"].take(j), "w": m["w"].take(i), "v": e["v"].take(j)})
+
+    return f
+
+
 def similar(mentions: DataFrame, entities: DataFrame, most: int = MOST, least: float = LEAST) -> DataFrame:
     """mention, entity, score: of each mention(mention, type, vector) the ``most`` entities(entity, type, vector) of its
     type with the greatest cosine, ``least`` at least; the lesser id of equals.  Exact.
 
     Entities are kept in blocks by their nearest pivot.  Angles obey the triangle inequality, so a block whose angles
     to the pivot are all further from the mention's than the angle of ``least`` has no answer, nor has an entity in
-    the block; what is left is compared.  Null vectors and types have no similar ones."""
+    the block.  What is left is compared tile by tile: at most about ``TILE`` mentions with as many entities of a block, as a
+    product of matrices whose best pairs are scored exactly.  Of equal vectors of a type the ``most`` least ids are enough.
+    Null vectors and types, and vectors with null components, have no similar ones."""
     spark = mentions.sparkSession
-    m, e = mentions.where("vector IS NOT NULL AND type IS NOT NULL"), entities.where("vector IS NOT NULL AND type IS NOT NULL")
-    first = e.orderBy(F.xxhash64("entity"), "entity").limit(PIVOTS).collect()
+    whole = F.expr("vector IS NOT NULL AND type IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)")
+    m, e = mentions.where(whole), entities.where(whole)
+    same = Window.partitionBy("type", "vector").orderBy("entity")
+    e = staged(e.select("entity", "type", F.col("vector").cast("array<double>").alias("vector")).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= most).drop("nth"), "entities")
+    first = e.orderBy(F.xxhash64("entity"), "entity").limit(min(PIVOTS, 1 + e.count() // TILE)).collect()
     if not first:
         return spark.createDataFrame([], "mention long, entity long, score double")
     p = np.array([r["vector"] for r in first], float)
@@ -62,10 +95,17 @@ def similar(mentions: DataFrame, entities: DataFrame, most: int = MOST, least: f
 
     block = F.array_position("angles", F.array_min("angles")).cast("int") - 1
     placed = staged(e.join(angled(e, "entity"), F.col("entity") == F.col("_entity")).select("entity", "type", F.col("vector").alias("v"), block.alias("block"), F.array_min("angles").alias("angle")), "entity-blocks")
-    blocks = placed.groupBy("type", "block").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    asked = m.join(angled(m, "mention"), F.col("mention") == F.col("_mention")).select("mention", "type", F.col("vector").alias("w"), "angles").join(blocks, "type")
-    asked = asked.withColumn("own", F.get("angles", F.col("block"))).where((F.col("own") <= F.col("hi") + reach) & (F.col("own") >= F.col("lo") - reach)).select("mention", "type", "w", "block", "own")
-    pairs = asked.join(placed, ["type", "block"]).where(F.abs(F.col("own") - F.col("angle")) <= reach).select("mention", "entity", cosine(F.col("w"), F.col("v")).alias("score")).where(F.col("score") >= least)
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    blocks = placed.groupBy("type", "block").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count("*").alias("held"))
+    many = m.groupBy("type").agg(F.count("*").alias("asking"))
+    blocks = staged(blocks.join(many, "type").select("type", "block", "lo", "hi", tiles("held").alias("slices"), tiles("asking").alias("parts")), "blocks")
+    asked = m.join(angled(m, "mention"), F.col("mention") == F.col("_mention")).select("mention", "type", F.col("vector").cast("array<double>").alias("w"), "angles").join(F.broadcast(blocks), "type")
+    asked = asked.withColumn("own", F.get("angles", F.col("block"))).where((F.col("own") <= F.col("hi") + reach) & (F.col("own") >= F.col("lo") - reach))
+    tile = ["type", "block", "slice", "part"]
+    asked = asked.select(F.col("mention").cast("long").alias("mention"), "w", "type", "block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("mention"), "parts").cast("int").alias("part"))
+    held = placed.join(F.broadcast(blocks), ["type", "block"]).select(F.col("entity").cast("long").alias("entity"), "v", "type", "block", F.pmod(F.xxhash64("entity"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    kept = asked.groupBy(*tile).cogroup(held.groupBy(*tile)).applyInArrow(_closest(most, least), "mention long, entity long, w array<double>, v array<double>")
+    pairs = kept.select("mention", "entity", cosine(F.col("w"), F.col("v")).alias("score")).where(F.col("score") >= least)
     best = Window.partitionBy("mention").orderBy(F.desc(F.round("score", 9)), "entity")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("mention", "entity", "score")
 

@@ -42,3 +42,18 @@ def test_trigrams_of_long_lines_take_one_pass(spark):
     assert time.monotonic() - began < 20
     flat = line.replace(" ", "")
     assert len(got[0]["g"]) == len({flat[i:i + 3] for i in range(len(flat) - 2)}) and [len(r["g"]) for r in got[1:]] == [1, 1, 1]
+
+
+def test_similar_by_small_tiles_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(R, "TILE", 8)
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=(5, 16))
+    v = (near[rng.integers(5, size=90)] + 0.3 * rng.normal(size=(90, 16))).tolist()
+    ents = [(i, "e", i % 2, v[i % 40]) for i in range(60)] + [(99, "e", 0, [1.0] * 15 + [None])]
+    ments = [(i, "m", i % 2, v[30 + i], "") for i in range(60)]
+    got = {(r["mention"], r["entity"]) for r in R.similar(spark.createDataFrame(ments, "mention long, name string, type int, vector array<double>, text string"), spark.createDataFrame(ents, "entity long, name string, type int, vector array<double>")).collect()}
+    want = set()
+    for m, _, t, x, _ in ments:
+        c = [(-round(float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))), 9), e) for e, _, u, y in ents[:-1] if u == t]
+        want |= {(m, e) for s, e in sorted(c)[:3] if s <= -0.8}
+    assert got == want and got
