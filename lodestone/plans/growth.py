@@ -98,7 +98,7 @@ statement("heartbeats", "SELECT user_id, max(ts) > any_value(now) - INTERVAL 1 H
 _MENTIONS = "SELECT p_partkey AS mention, p_name AS name, p_type AS type FROM part WHERE p_partkey % 2 = 1"
 _KNOWN = "SELECT p_partkey AS id, p_name AS name, p_type AS type, p_brand AS alias FROM part WHERE p_partkey % 2 = 0"
 statement("resolve_funnel", f"""SELECT mention, CASE WHEN n = 1 THEN 'merge' WHEN n > 1 THEN 'ambiguous' ELSE 'new' END AS decision, CASE WHEN n = 1 THEN target END AS target FROM (
-  SELECT m.mention, count(doc_id) AS n, min(doc_id) AS target FROM ({_MENTIONS}) m LEFT JOIN ({_KNOWN}) k ON k.name = m.name AND k.type = m.type LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) j ON doc_id = id GROUP BY m.mention) x""",
+  SELECT m.mention, coalesce(sum(k.n), 0) AS n, min(k.target) AS target FROM ({_MENTIONS}) m LEFT JOIN (SELECT name, type, count(*) AS n, min(id) AS target FROM ({_KNOWN}) k LEFT SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) j ON doc_id = id GROUP BY name, type) k ON k.name = m.name AND k.type = m.type GROUP BY m.mention) x""",
   f"""WITH s AS (SELECT m.mention, k.id FROM ({_MENTIONS}) m JOIN ({_KNOWN}) k ON k.name = m.name AND k.type = m.type WHERE EXISTS (SELECT 1 FROM labels WHERE doc_id = k.id AND quality = 1))
   SELECT m.mention, 'new' AS decision, CAST(NULL AS BIGINT) AS target FROM ({_MENTIONS}) m WHERE m.mention NOT IN (SELECT mention FROM s) UNION ALL SELECT mention, CASE WHEN count(*) = 1 THEN 'merge' ELSE 'ambiguous' END, CASE WHEN count(*) = 1 THEN min(id) END FROM s GROUP BY mention""")
 # DD-9: keys of candidates, and those that are not stored yet

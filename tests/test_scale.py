@@ -57,3 +57,12 @@ def test_similar_by_small_tiles_and_copies(spark, monkeypatch):
         c = [(-round(float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))), 9), e) for e, _, u, y in ents[:-1] if u == t]
         want |= {(m, e) for s, e in sorted(c)[:3] if s <= -0.8}
     assert got == want and got
+
+
+def test_known_names_are_counted_before_they_meet_mentions(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS p_partkey", "'same' AS p_name", "IF(id > 3990, NULL, 'kind') AS p_type", "'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(0, 4000, 4).selectExpr("id AS doc_id", "CAST(1 AS INT) AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    out = QUERIES["resolve_funnel"](spark, str(tmp_path))
+    assert out.groupBy("decision").count().orderBy("decision").collect() == [("ambiguous", 1995), ("new", 5)]
+    joined = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [name" in joined
