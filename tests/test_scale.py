@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import arrivals, retrieval
 from lodestone.operators import resolution as R
-from lodestone.plans import QUERIES
+from lodestone.plans import catalogue
 
 
 def plan(df):
@@ -62,7 +62,7 @@ def test_similar_by_small_tiles_and_copies(spark, monkeypatch):
 def test_known_names_are_counted_before_they_meet_mentions(spark, tmp_path):
     spark.range(4000).selectExpr("id AS p_partkey", "'same' AS p_name", "IF(id > 3990, NULL, 'kind') AS p_type", "'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
     spark.range(0, 4000, 4).selectExpr("id AS doc_id", "CAST(1 AS INT) AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
-    out = QUERIES["resolve_funnel"](spark, str(tmp_path))
+    out = catalogue.queries()["resolve_funnel"](spark, str(tmp_path))
     assert out.groupBy("decision").count().orderBy("decision").collect() == [("ambiguous", 1995), ("new", 5)]
     joined = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [name" in joined
