@@ -12,14 +12,15 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, hop of all nodes within ``depth`` hops of start(node), by the least hop.
 
     Edges count both ways.  Every hop is one join of the frontier with the edges and an
-    anti-join with what is known; null ends are no edges.
+    anti-join with what is known; null ends are no edges.  Only what was reached is made distinct,
+    so repeated edges may come in and no table of all edges is held.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct()
+    both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null")
     known = start.select("node", F.lit(0).alias("hop")).distinct()
     frontier = known
     for hop in range(1, depth + 1):
         reached = frontier.join(both, frontier.node == both.a).select(F.col("b").alias("node")).distinct()
-        frontier = reached.join(known.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = staged(reached.join(known.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         known = known.union(frontier)
     return known
 
@@ -27,9 +28,10 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's least node) by minimum labels with a jump to the label's label.
 
-    Rounds go on until nothing changes; each is a staged table, and doubles the distance that a label has come."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct(), "edges")
-    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    Rounds go on until nothing changes; each is a staged table, and doubles the distance that a label has come.
+    Repeated edges may come in; no table of all edges is held."""
+    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null"), "edges")
+    label = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
     while True:
         near = both.join(label.select("node", "root"), both.b == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         new = label.select("node", "root").join(near, F.col("node") == near.a, "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("old"))

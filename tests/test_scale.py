@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import arrivals, retrieval
+from lodestone.operators import arrivals, graph, retrieval
 from lodestone.operators import resolution as R
 from lodestone.plans import catalogue
 
@@ -71,3 +71,13 @@ def test_known_names_are_counted_before_they_meet_mentions(spark, tmp_path):
 def test_lines_of_answers_are_dealt_once(spark):
     text = plan(catalogue.queries()["answer_evaluation"](spark, "/root/testdata/sf0.001"))
     assert text.count("Exchange hashpartitioning") <= 2 and text.count("FileScan") <= 3
+
+
+def test_edges_are_never_made_distinct_as_a_whole(spark, monkeypatch):
+    plans, real = {}, graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: (plans.setdefault(name, plan(df)), real(df, name))[1])
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 3), (None, 1), (3, 4), (9, 8), (8, 9)], "a long, b long")
+    assert {tuple(r) for r in graph.neighbourhood(edges, spark.range(1, 2).select(F.col("id").alias("node")), 2).collect()} == {(1, 0), (2, 1), (3, 2)}
+    assert "keys=[a#" not in plans["frontier"]
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
+    assert "Aggregate" not in plans["edges"]
