@@ -19,6 +19,8 @@ def _new(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+#: Elements of a file: an XML file is read by one task.
+FILE_ROWS = 250_000
 #: Declared attributes: key, of what, name, type.
 _KEYS = [("d0", "node", "entity_type", "string"), ("d1", "node", "balance", "double"), ("d7", "edge", "weight", "long"), ("d9", "edge", "keywords", "string")]
 
@@ -35,7 +37,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     edges = lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("_source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("_target"), data(d7=F.col("n")).alias("data"))
     path = _new(spark, "graph")
     for name, rows in (("key", spark.createDataFrame(_KEYS, "_id string, _for string, `_attr.name` string, `_attr.type` string")), ("node", nodes), ("edge", edges)):
-        rows.write.format("xml").option("rootTag", "graphml").option("rowTag", name).save(f"{path}/{name}s")
+        rows.write.format("xml").option("rootTag", "graphml").option("rowTag", name).option("maxRecordsPerFile", FILE_ROWS).save(f"{path}/{name}s")
     return f"{path}/*"
 
 

@@ -1,13 +1,14 @@
 """Shapes of plans and steps whose work must not outgrow the tables."""
 
 import time
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.operators import arrivals, graph, retrieval
 from lodestone.operators import resolution as R
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, stores
 
 
 def plan(df):
@@ -81,3 +82,10 @@ def test_edges_are_never_made_distinct_as_a_whole(spark, monkeypatch):
     assert "keys=[a#" not in plans["frontier"]
     assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)}
     assert "Aggregate" not in plans["edges"]
+
+
+def test_graph_files_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(stores, "FILE_ROWS", 500)
+    path = stores._written(spark, "/root/testdata/sf0.001").removesuffix("/*").removeprefix("file://").removeprefix("file:")
+    sizes = [f.read_text().count("<edge ") for f in Path(path, "edges").glob("part-*")]
+    assert sum(sizes) > 1000 and max(sizes) <= 500
