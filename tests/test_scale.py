@@ -89,3 +89,7 @@ def test_graph_files_are_of_bounded_size(spark, monkeypatch):
     path = stores._written(spark, "/root/testdata/sf0.001").removesuffix("/*").removeprefix("file://").removeprefix("file:")
     sizes = [f.read_text().count("<edge ") for f in Path(path, "edges").glob("part-*")]
     assert sum(sizes) > 1000 and max(sizes) <= 500
+
+
+def test_pairs_of_one_kind_take_one_scan(spark):
+    assert plan(catalogue.queries()["triple_difference"](spark, "/root/testdata/sf0.001")).count("FileScan") == 1
