@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bundles as B
 from ..operators.retrieval import cosine
+from ..operators.staging import staged
 from ..sources import ROLE_SQL, table
 from . import query
 
@@ -61,26 +62,33 @@ def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "orders")}
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    claims, seeds = spark.sql(sql, **tables), F.broadcast(_seeds(spark).select("seed", "terms"))
+    claims = spark.sql(sql, **tables).withColumns({"low_quote": F.lower("quote"), "low_part": F.lower("p_name"), "low_nation": F.lower("n_name")})
+    seeds = F.broadcast(_seeds(spark).select("seed", "terms", F.transform("terms", F.lower).alias("low")))
     cols = ["quote", "resource", "authority", "cluster"]
 
     def found(rows: DataFrame, channel: str, position: int, most: int) -> DataFrame:
         return spark.sql(f"SELECT seed, '{channel}' AS channel, {position} AS position, place, {', '.join(cols)} FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY place) AS _k FROM {{rows}}) x WHERE _k <= {most}", rows=rows)
 
-    lexical = claims.join(seeds, F.exists("terms", lambda t: F.contains(F.lower("quote"), F.lower(t))))
-    ends = claims.join(seeds, F.exists("terms", lambda t: F.contains(F.lower("p_name"), F.lower(t)) | F.contains(F.lower("n_name"), F.lower(t))))
+    def held(*columns: str):
+        return F.exists("low", lambda t: _either([F.contains(F.col(c), t) for c in columns]))
+
+    # seeds by supplier whose claims they name; then every claim is looked at once for its three channels
+    near = staged(claims.join(seeds, held("low_part", "low_nation")).groupBy("supplier").agg(F.collect_set("seed").alias("near")), "suppliers-of-seeds")
+    ends, lexical = held("low_part", "low_nation"), held("low_quote")
+    kind = lambda channel, position, most: F.struct(F.lit(channel).alias("channel"), F.lit(position).alias("position"), F.lit(most).alias("most"))
+    kinds = F.array_compact(F.array(F.when(lexical, kind("lexical", 1, LEXICAL)), F.when(ends, kind("entity", 2, ENTITY)), F.when(~ends & F.array_contains("near", F.col("seed")), kind("graph", 4, GRAPH))))
+    asked = claims.join(near, "supplier", "left").crossJoin(seeds).select("seed", F.inline(kinds), "place", *cols)
+    first = Window.partitionBy("seed", "channel").orderBy("place")
+    stored = asked.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= max(LEXICAL, ENTITY, GRAPH)).where("_k <= most").select("seed", "channel", "position", "place", *cols)
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("place"), F.concat("event_type", F.lit(" by user number "), F.col("user_id").cast("string"), F.lit(" with "), "props").alias("quote"), F.col("user_id").alias("resource"), F.lit("B").alias("authority"), F.lit(None).cast("long").alias("cluster"), "event_type")
     named = events.join(seeds, F.exists("terms", lambda t: F.contains(F.lower("event_type"), F.lower(t))))
-    entity = found(ends, "entity", 2, ENTITY)
-    suppliers = ends.select("seed", "supplier").distinct()
-    hop = claims.join(suppliers, "supplier").join(seeds, "seed").where(~F.exists("terms", lambda t: F.contains(F.lower("p_name"), F.lower(t)) | F.contains(F.lower("n_name"), F.lower(t))))
     texts = B.passages(_seeds(spark), _resources(spark, sf_dir)).select("seed", F.lit("fulltext").alias("channel"), F.lit(5).alias("position"), (F.col("resource") * 10 + F.col("n")).alias("place"), "quote", "resource", F.lit(None).cast("string").alias("authority"), F.lit(None).cast("long").alias("cluster"))
-    return found(lexical, "lexical", 1, LEXICAL).unionByName(entity).unionByName(found(named, "event", 3, EVENTS)).unionByName(found(hop, "graph", 4, GRAPH)).unionByName(texts)
+    return stored.unionByName(found(named, "event", 3, EVENTS)).unionByName(texts)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool with cosines of the resource's vector to the seed's."""
-    pool = B.pooled(_channels(spark, sf_dir))
+    pool = staged(B.pooled(_channels(spark, sf_dir)), "pool")
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     own = F.broadcast(_seeds(spark).select(F.col("seed").alias("_seed")).join(v.select(F.col("vec_id").alias("_seed"), F.col("v").alias("w")), "_seed"))
     near = pool.select("seed", "resource").distinct().join(v, F.col("resource") == F.col("vec_id")).join(own, F.col("seed") == F.col("_seed")).select("seed", "resource", F.round(cosine(F.col("v"), F.col("w")), 6).alias("semantic"))

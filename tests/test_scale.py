@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import arrivals, graph, retrieval
 from lodestone.operators import resolution as R
-from lodestone.plans import catalogue, stores
+from lodestone.plans import bundles, catalogue, stores
 
 
 def plan(df):
@@ -93,3 +93,10 @@ def test_graph_files_are_of_bounded_size(spark, monkeypatch):
 
 def test_pairs_of_one_kind_take_one_scan(spark):
     assert plan(catalogue.queries()["triple_difference"](spark, "/root/testdata/sf0.001")).count("FileScan") == 1
+
+
+def test_claims_of_a_pool_are_placed_once(spark, monkeypatch):
+    plans, real = {}, bundles.staged
+    monkeypatch.setattr(bundles, "staged", lambda df, name: (plans.setdefault(name, plan(df)), real(df, name))[1])
+    catalogue.queries()["bundle_pool"](spark, "/root/testdata/sf0.001")
+    assert plans["pool"].count("Window [row_number() windowspecdefinition(l_orderkey") == 1
