@@ -44,6 +44,30 @@ def _before(rows: DataFrame, flags: list[str], keys: list[str]) -> DataFrame:
     return rows.join(totals, [*keys, "_block"]).select(*rows.columns, *((F.coalesce(F.sum(f).over(at), F.lit(0)) + F.col(f"_{f}")).alias(f"{f}_before") for f in flags)).drop("_block")
 
 
+def _judged(drafts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Drafts with their predicate's columns, match and failed_stage."""
+    rows = drafts.join(F.broadcast(predicates), "predicate", "left").withColumn("match", text.bind(F.col("quote"), F.col("chunk")))
+    return rows.withColumn("failed_stage", failed_stage(F.col("match"))).drop("quote", "chunk", "domain", "range")
+
+
+def _contested(passing: DataFrame) -> DataFrame:
+    """``passing`` with conflict_with: the draft that decided another object of a subject's single-valued predicate."""
+    first = passing.where("cardinality = 'single'").groupBy("subject", "predicate").agg(F.min(F.struct("id", "object")).alias("first"))
+    return passing.join(first, ["subject", "predicate"], "left").withColumn("conflict_with", F.when(F.col("object") != F.col("first.object"), F.col("first.id"))).drop("first")
+
+
+def _status() -> Column:
+    rejected = F.when((F.col("failed_stage") == STAGES[1]) & (F.col("subject").isNull() | F.col("object").isNull()), "REJECTED_PRE_INSERT").otherwise("REJECTED")
+    return F.when(F.col("failed_stage").isNotNull(), rejected).when(F.col("conflict_with").isNotNull(), "CONTESTED").otherwise("ADMITTED")
+
+
+def statuses(drafts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """id, status, failed_stage of ``admit``, without the support, for which drafts must be counted."""
+    rows = staged(_judged(drafts, predicates).select("id", "subject", "object", "predicate", "cardinality", "failed_stage"), "drafts")
+    out = _contested(rows.where("failed_stage IS NULL")).unionByName(rows.where("failed_stage IS NOT NULL").withColumn("conflict_with", F.lit(None).cast(rows.schema["id"].dataType)))
+    return out.select("id", _status().alias("status"), "failed_stage")
+
+
 def admit(drafts: DataFrame, predicates: DataFrame) -> DataFrame:
     """id, status, failed_stage, match, confidence (hundredths), independent, resources, sources, evidence, conflict_with.
 
@@ -51,11 +75,8 @@ def admit(drafts: DataFrame, predicates: DataFrame) -> DataFrame:
     object_state, quote, chunk, time_text, place, scope, resource, cluster, source, authority.  ``predicates`` (a vocabulary,
     broadcast): predicate, cardinality, domain, range, time_required, place_required.  Nulls fail the stage that needs them;
     a draft without an endpoint is REJECTED_PRE_INSERT.  A resource in no cluster is its own."""
-    rows = drafts.join(F.broadcast(predicates), "predicate", "left").withColumn("match", text.bind(F.col("quote"), F.col("chunk")))
-    rows = staged(rows.withColumn("failed_stage", failed_stage(F.col("match"))).drop("quote", "chunk", "domain", "range"), "drafts")
-    passing = rows.where("failed_stage IS NULL")
-    first = passing.where("cardinality = 'single'").groupBy("subject", "predicate").agg(F.min(F.struct("id", "object")).alias("first"))
-    passing = passing.join(first, ["subject", "predicate"], "left").withColumn("conflict_with", F.when(F.col("object") != F.col("first.object"), F.col("first.id"))).drop("first")
+    rows = staged(_judged(drafts, predicates), "drafts")
+    passing = _contested(rows.where("failed_stage IS NULL"))
     unit = F.coalesce(F.col("cluster").cast("string"), F.concat(F.lit("resource "), F.col("resource").cast("string")))
     kept = staged(passing.where("conflict_with IS NULL").select("id", "subject", "predicate", "object", "resource", "source", unit.alias("unit"), F.lit(1).alias("evidence")), "admitted")
     claim = ["subject", "predicate", "object"]
@@ -67,11 +88,10 @@ def admit(drafts: DataFrame, predicates: DataFrame) -> DataFrame:
     counted = _before(counted, names, claim).select("id", *(F.col(f"{n}_before").alias(n) for n in names))
     out = rows.join(passing.select("id", "conflict_with"), "id", "left").join(counted, "id", "left")
     contested = F.col("conflict_with").isNotNull()
-    status = F.when(F.col("failed_stage").isNotNull(), F.when((F.col("failed_stage") == STAGES[1]) & (F.col("subject").isNull() | F.col("object").isNull()), "REJECTED_PRE_INSERT").otherwise("REJECTED")).when(contested, "CONTESTED").otherwise("ADMITTED")
     support = {n: F.when(F.col("failed_stage").isNull(), F.coalesce(n, F.lit(0)) + 1).otherwise(0) for n in names}
     has_time = F.coalesce(F.col("time_text").cast("string"), F.lit("")) != ""
     value = scoring.confidence(support["independent"], F.coalesce("authority", F.lit("UNKNOWN")), F.col("match"), has_time, F.col("predicate") != FALLBACK, contested)
-    return out.select("id", status.alias("status"), "failed_stage", F.when(F.col("failed_stage").isNull(), F.col("match")).otherwise("FAILED").alias("match"), F.when(F.col("failed_stage").isNull(), value).otherwise(0).alias("confidence"), *(support[n].alias(n) for n in names), "conflict_with")
+    return out.select("id", _status().alias("status"), "failed_stage", F.when(F.col("failed_stage").isNull(), F.col("match")).otherwise("FAILED").alias("match"), F.when(F.col("failed_stage").isNull(), value).otherwise(0).alias("confidence"), *(support[n].alias(n) for n in names), "conflict_with")
 
 
 def stage_log(decisions: DataFrame) -> DataFrame:
@@ -106,4 +126,4 @@ def admit_events(events: DataFrame) -> DataFrame:
     first = rows.where("failed_stage IS NULL").groupBy("name", "type").agg(F.min("id").alias("first"))
     out = rows.join(first, ["name", "type"], "left").withColumn("conflict_with", F.when(F.col("failed_stage").isNull() & (F.col("id") != F.col("first")), F.col("first")))
     status = F.when(F.col("failed_stage").isNotNull(), "REJECTED").when(F.col("conflict_with").isNotNull(), "CONTESTED").otherwise("ADMITTED")
-    return out.select("id", status.alias("status"), "failed_stage", "match", "conflict_with")
+    return out.select("id", _status().alias("status"), "failed_stage", "match", "conflict_with")

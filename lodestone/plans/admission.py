@@ -27,12 +27,12 @@ _DRAFTS = """SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderk
   FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN orders ON o_orderkey = l_orderkey"""
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decisions(spark: SparkSession, sf_dir: str, of=A.admit) -> DataFrame:
     tables = {t: table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation", "orders")}
     sql = _DRAFTS
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return A.admit(spark.sql(sql, **tables), spark.createDataFrame(PREDICATES, "predicate string, cardinality string, domain array<string>, range array<string>, time_required boolean, place_required boolean"))
+    return of(spark.sql(sql, **tables), spark.createDataFrame(PREDICATES, "predicate string, cardinality string, domain array<string>, range array<string>, time_required boolean, place_required boolean"))
 
 
 def _list(x: list[str]) -> str:
@@ -67,13 +67,13 @@ def claim_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, CAST(position AS INT) AS position, stage, CASE WHEN position + 1 = failed THEN 'FAIL' ELSE 'PASS' END AS result FROM z JOIN s ON failed = 0 OR position < failed - CASE WHEN status = 'REJECTED_PRE_INSERT' THEN 1 ELSE 0 END""")
 def claim_stage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AD-4: the stages each draft went through."""
-    return A.stage_log(decisions(spark, sf_dir))
+    return A.stage_log(decisions(spark, sf_dir, A.statuses))
 
 
 @query("claim_audit", f"WITH {_PLAIN} SELECT 'adm-' || left(sha1('claim|' || id || '|' || status || '|{RULES}'), 16) AS key, 'claim' AS kind, id, status AS decision, '{RULES}' AS rule_version, coalesce(failed_stage, '') AS reason FROM z")
 def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AD-15's audit row, of claims."""
-    return A.audit(decisions(spark, sf_dir), RULES)
+    return A.audit(decisions(spark, sf_dir, A.statuses), RULES)
 
 
 #: How a model writes the object o, by event.

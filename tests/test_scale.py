@@ -100,3 +100,8 @@ def test_claims_of_a_pool_are_placed_once(spark, monkeypatch):
     monkeypatch.setattr(bundles, "staged", lambda df, name: (plans.setdefault(name, plan(df)), real(df, name))[1])
     catalogue.queries()["bundle_pool"](spark, "/root/testdata/sf0.001")
     assert plans["pool"].count("Window [row_number() windowspecdefinition(l_orderkey") == 1
+
+
+def test_audits_count_no_support(spark):
+    drafts = [c for c in catalogue.queries()["claim_audit"](spark, "/root/testdata/sf0.001").inputFiles() if "/drafts-" in c]
+    assert drafts and set(spark.read.parquet(*drafts).columns) == {"id", "subject", "object", "predicate", "cardinality", "failed_stage"}
