@@ -20,7 +20,7 @@ def garbage(text: Column) -> Column:
 
 
 def bind_form(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, PUNCTUATION, ""), SCAN_MARKS, "")
+    return F.regexp_replace(text, PUNCTUATION.removesuffix("]+") + SCAN_MARKS.removeprefix("[") + "+", "")
 
 
 def bind(quote: Column, chunk: Column) -> Column:

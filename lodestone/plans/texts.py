@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +72,20 @@ def balanced_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PIECE = 6
 
 
+def _piece_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, heads of (key, form): a number for each different piece of ``_PIECE`` characters; equal pieces have equal ones."""
+    for batch in batches:
+        found = []
+        for form in batch.column(1).to_pylist():
+            c, h = np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.uint64(0)
+            for k in range(_PIECE):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + c[k:len(c) - _PIECE + 1 + k]
+            found.append(np.unique(h).view(np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(h) for h in found])]).astype(np.int32)
+        heads = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), heads], names=["key", "heads"])
+
+
 def quotes_bound(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """doc_id, item_id, match (EXACT or NORMALIZED), part of docs(doc_id, text) and quotes(item_id, text).
 
@@ -80,9 +98,12 @@ def quotes_bound(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     q = quotes.where("text is not null and text <> ''").select("item_id", F.col("text").alias("quote"), text.bind_form(F.col("text")).alias("q_form"))
     long_, short = q.where(F.length("q_form") >= _PIECE), q.where(F.length("q_form") < _PIECE)
     d = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text", text.bind_form(F.col("text")).alias("form"))
-    heads = long_.select(F.substring("q_form", 1, _PIECE).alias("head")).distinct()
-    met = d.where(F.length("form") >= _PIECE).select("key", "doc_id", F.explode(text.grams(F.col("form"), _PIECE)).alias("head")).join(heads, "head", "left_semi")
-    pairs = met.join(long_.select("item_id", "quote", "q_form", F.substring("q_form", 1, _PIECE).alias("head")), "head").select("key", "doc_id", "item_id", "quote", "q_form").distinct()
+    # pieces meet as numbers; the texts of what meets are compared below
+    numbers = lambda rows, key, form: rows.select(F.struct(*key).alias("key"), form.alias("form")).mapInArrow(_piece_numbers, f"key {rows.select(F.struct(*key).alias('key')).schema['key'].dataType.simpleString()}, heads array<bigint>")
+    asked = numbers(long_, ["item_id", "quote", "q_form"], F.substring("q_form", 1, _PIECE)).select("key.*", F.explode("heads").alias("head"))
+    heads = staged(asked, "heads")
+    met = numbers(d.where(F.length("form") >= _PIECE), ["key", "doc_id"], F.col("form")).select("key.*", F.explode("heads").alias("head"))
+    pairs = met.join(heads, "head").select("key", "doc_id", "item_id", "quote", "q_form").distinct()
     near = pairs.join(d.select("key", F.col("doc_id").alias("_d"), "text", "form"), "key").where(F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "form", "item_id", "quote", "q_form")
     near = near.union(d.select("doc_id", "text", "form").join(F.broadcast(short), F.contains("text", "quote")).select("doc_id", "text", "form", "item_id", "quote", "q_form"))
     match = F.when(F.contains("text", "quote"), "EXACT").when((F.length("q_form") >= _PIECE) & F.contains("form", "q_form"), "NORMALIZED")

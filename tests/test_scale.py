@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import arrivals, graph, retrieval
 from lodestone.operators import resolution as R
-from lodestone.plans import bundles, catalogue, stores
+from lodestone.plans import bundles, catalogue, stores, texts
 
 
 def plan(df):
@@ -105,3 +105,11 @@ def test_claims_of_a_pool_are_placed_once(spark, monkeypatch):
 def test_audits_count_no_support(spark):
     drafts = [c for c in catalogue.queries()["claim_audit"](spark, "/root/testdata/sf0.001").inputFiles() if "/drafts-" in c]
     assert drafts and set(spark.read.parquet(*drafts).columns) == {"id", "subject", "object", "predicate", "cardinality", "failed_stage"}
+
+
+def test_pieces_of_texts_meet_quotes_as_numbers(spark):
+    docs = spark.createDataFrame([(1, "say: the 𠀀quick, brown fox"), (2, "nothing of it"), (3, "a.b"), (None, "the quick brown fox"), (4, None), (5, "")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "𠀀quick brown"), (2, "quick brown fox"), (3, "."), (4, "absent words"), (5, None)], "item_id long, text string")
+    out = texts.quotes_bound(docs, quotes)
+    assert {tuple(r)[:3] for r in out.collect()} == {(1, 1, "NORMALIZED"), (1, 2, "NORMALIZED"), (3, 3, "EXACT"), (None, 2, "EXACT")}
+    assert "PythonMapInArrow" in plan(out) or "MapInArrow" in plan(out)
