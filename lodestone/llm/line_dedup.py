@@ -27,6 +27,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +39,16 @@ SMALL = 16
 #: Lists of tokens that are counted so often are split by length, and by whether classes are removed.
 OFTEN = 64
 VERY_OFTEN = 4096
+#: Lines of more words have signatures of 256 bits besides those of 128, in which those of long lines differ too little.
+WIDE = 128
+#: Leaders of a group, one after the other.
+ROUNDS = 2
 #: Postings of one partition of the join.
 PART = 1 << 20
 #: Up to this many candidate lines (32 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def words(line: Column) -> Column:
@@ -68,34 +75,47 @@ def _rank(count: int) -> int:
     return min(127, 4 * n.bit_length() + (n * 4 >> n.bit_length()))
 
 
-def _cells(docs: DataFrame) -> Column:
+def _cells(classes: DataFrame) -> Column:
     """The ranks of all cells, as one folded array."""
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    said = docs.select(F.explode(words(F.col("text").cast("string"))).alias("w"))
-    found = said.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    found = classes.select(F.explode("tokens").alias("t")).groupBy(_cell(F.col("t")).alias("cell")).agg(F.count("*").alias("n")).toArrow()
     ranks = [_rank(0)] * CELLS
     for c, n in zip(found.column("cell").to_pylist(), found.column("n").to_pylist(), strict=True):
         ranks[c] = _rank(n)
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """id, id2, first (doc_id, row, line_no), n, bits, least, greatest, prefix of each class of equal lines with words."""
-    cells = _cells(docs)
-    said = lines(docs).withColumn("words", words(F.col("line"))).where(F.size("words") > 0)
-    hashed = said.withColumn("tokens", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
+def _cell(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(CELLS - 1))
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """id, id2, first (doc_id, row, line_no), tokens (a 32-bit hash of each distinct word) of each class of equal lines with words."""
+    said = lines(docs).where(F.col("line").rlike(_WORD))
+    one = said.groupBy("id", "id2").agg(F.min(F.struct(F.struct("doc_id", "row", "line_no").alias("first"), "line")).alias("x"))
+    return one.select("id", "id2", "x.first", F.transform(F.array_distinct(words(F.col("x.line"))), lambda w: F.hash(w)).alias("tokens"))
+
+
+def _classes(tokens: DataFrame) -> DataFrame:
+    """id, id2, first, n, bits, wide, least, greatest, prefix of each class.
+
+    Two words of a line may share a hash: n counts words, and tokens of equal hashes stand side by side."""
+    cells = _cells(tokens)
     n = F.size("tokens")
-    key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(cells, t.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(t, 16))))
+    key = F.sort_array(F.transform("tokens", lambda t: F.shiftleft(F.get(cells, _cell(t)).cast("long"), 32).bitwiseOR(t.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))))
 
-    def signature(of) -> Column:
-        """Bits that each token of one half flips one of."""
-        flip = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    def signature(of, at=lambda t: t) -> Column:
+        """Bits that each token of one part flips one of."""
+        flip = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), at(t).bitwiseAND(F.lit(63)))
         return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: F.when(of(t), a.bitwiseXOR(flip(t))).otherwise(a))
 
     bits = F.struct(signature(lambda t: t < 0).alias("a"), signature(lambda t: t >= 0).alias("b"))
-    rest = hashed.select("id", "id2", F.struct("doc_id", "row", "line_no").alias("first"), n.alias("n"), bits.alias("bits"), F.array_min("tokens").alias("least"), F.array_max("tokens").alias("greatest"), F.slice(key, 1, F.floor(n / 4).cast("int") + 1).alias("prefix"))
-    one = rest.groupBy("id", "id2").agg(F.min(F.struct("first", "n", "bits", "least", "greatest", "prefix")).alias("x"))
-    return one.select("id", "id2", "x.*")
+    quarter = lambda k: signature(lambda t: F.shiftright(t, 24).bitwiseAND(F.lit(3)) == k, lambda t: F.shiftright(t, 18))
+    wide = F.when(n > WIDE, F.struct(*(quarter(k).alias("abcd"[k]) for k in range(4))))
+    # three tokens that many unrelated lines don't share; all of them in lines of fewer than six
+    some = F.sort_array("tokens")
+    least = F.xxhash64(F.when(n < 6, some).otherwise(F.slice(some, 1, 3)))
+    greatest = F.xxhash64(F.lit("greatest"), F.when(n < 6, some).otherwise(F.slice(some, -3, 3)))
+    return tokens.select("id", "id2", "first", n.alias("n"), bits.alias("bits"), wide.alias("wide"), least.alias("least"), greatest.alias("greatest"), F.slice(key, 1, F.floor(n / 4).cast("int") + 1).alias("prefix"))
 
 
 def _flipped(bits: Column, other: Column) -> Column:
@@ -130,27 +150,62 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def _led(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, id2 of the classes that match the first of a large group of agreeing ones."""
-    keyed = classes.select(F.explode(F.array("least", F.xxhash64("greatest"))).alias("key"), "first", "id", "n", "bits")
-    led = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("first", "id", "n", "bits")).alias("x")).where(F.col("c") > SMALL)
-    led = led.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("m"), F.col("x.bits").alias("m_bits"))
-    near = (F.col("id") != F.col("a")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & _near(F.col("bits"), F.col("m_bits"), F.col("n"), F.col("m"))
-    pairs = staged(keyed.join(led, "key").where(near).select("a", F.col("id").alias("b")).distinct(), "led")
-    later = _verified(docs, classes, pairs)
-    release(pairs)
-    return later
+    """id, id2 of the classes that match one of the first of a large group of agreeing ones.
+
+    What doesn't match the leader but isn't far from it has the first of these as its next leader, as
+    long as there are many.  Then all that is left is compared with the leaders that many have followed."""
+    keyed = classes.select(F.explode(F.array("least", "greatest")).alias("key"), "first", "id", "n", "bits")
+    one = F.struct("first", "id", "n", "bits")
+    n, m, far = F.col("n"), F.col("x.n"), _flipped(F.col("bits"), F.col("x.bits"))
+    near = (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * far <= n + m)
+
+    def members(rows: DataFrame, by: str) -> DataFrame:
+        led = rows.groupBy(by).agg(F.count("*").alias("c"), F.min(one).alias("x")).where(F.col("c") > SMALL).select(by, "x")
+        met = rows.drop("x").join(led, by).where((F.col("id") != F.col("x.id")) & (14 * far <= 3 * (n + m)))
+        return staged(met.select("x", F.col("x.id").alias("a"), "first", "id", "n", "bits", near.alias("near")).distinct(), "led")
+
+    rows, found, leaders = members(keyed, "key"), [], []
+    for more in range(ROUNDS - 1, -1, -1):
+        found.append(_verified(docs, classes, rows.where("near").select("a", F.col("id").alias("b"))))
+        followed = rows.join(found[-1].select("id"), "id", "left_semi").groupBy("a").agg(F.count("*").alias("c"), F.first("x").alias("x"))
+        leaders.append(staged(followed.where(F.col("c") > SMALL).select("a", "x"), "leaders"))
+        left = rows.join(found[-1].select("id"), "id", "left_anti")
+        if not more or not left.groupBy("a").count().where(F.col("count") > SMALL).limit(1).count():
+            break
+        last, rows = rows, members(left, "a")
+        release(last)
+    release(rows)
+    every, first = _all(found), _all(leaders).dropDuplicates(["a"])
+    if (many := first.count()):
+        asked = first.join(classes.select(F.col("id").alias("a"), F.explode("prefix").alias("token")), "a")
+        asked = F.broadcast(asked) if many <= BROADCAST_ROWS // 64 else asked
+        open_ = classes.join(every.select("id"), "id", "left_anti").select("id", "n", "bits", F.explode("prefix").alias("token"))
+        pairs = staged(open_.join(asked, "token").where((F.col("id") != F.col("a")) & near).select("a", F.col("id").alias("b")).distinct(), "asked")
+        found.append(_verified(docs, classes, pairs))
+        release(pairs)
+    out = staged(_all(found).distinct(), "removed")
+    release(*found, *leaders)
+    return out
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
 def _postings(classes: DataFrame, gone: DataFrame) -> DataFrame:
-    """key, id, the signatures a and b, packed: prefix tokens of all classes.
+    """key, id, the signatures a, b and wide, packed: prefix tokens of all classes.
 
     packed: the number n of tokens (28 bits) and the position p (28 bits), then whether the entry takes
-    part as the shorter line, as the longer line, and whether the class is open, i.e. not removed yet.
+    part as the shorter line, as the longer line, whether the class is open, i.e. not removed yet, and
+    the sixteenth of the range of doc_ids that it is of, which rises with the order of lines.
     """
+    low, high = classes.agg(F.min("first.doc_id"), F.max("first.doc_id")).first()
+    share = (F.col("first.doc_id").cast("double") - float(low or 0)) / (float(high or 0) - float(low or 0) + 1)
+    when = F.coalesce(F.least(F.lit(15), F.floor(16 * share)), F.lit(0)).cast("long")
     gone = gone.select("id", "id2", F.lit(False).alias("open"))
     band = lambda x: F.length(F.bin(x))
-    each = classes.join(gone, ["id", "id2"], "left").select("id", "n", "bits", F.coalesce("open", F.lit(True)).alias("open"), F.ceil(6 * F.col("n") / 7).alias("least"), band(F.col("n")).alias("own"), band(F.floor(4 * F.col("n") / 3)).alias("next"), "prefix")
-    every = each.select("*", F.posexplode("prefix").alias("p", "token")).drop("prefix").withColumn("rank", F.shiftright("token", 48)).withColumn("short", F.col("p") <= F.col("n") - F.col("least"))
+    each = classes.join(gone, ["id", "id2"], "left").select("id", "n", "bits", "wide", when.alias("when"), F.coalesce("open", F.lit(True)).alias("open"), F.ceil(6 * F.col("n") / 7).alias("least"), band(F.col("n")).alias("own"), band(F.floor(4 * F.col("n") / 3)).alias("next"), "prefix")
+    every = each.select("*", F.posexplode("prefix").alias("p", "token")).drop("prefix").withColumn("rank", F.shiftright("token", 32)).withColumn("short", F.col("p") <= F.col("n") - F.col("least"))
     yes, no, short, open_, own, next_ = F.lit(True), F.lit(False), F.col("short"), F.col("open"), F.col("own"), F.col("next")
 
     def entry(as_short: Column, as_long: Column, *key: Column) -> Column:
@@ -164,25 +219,27 @@ def _postings(classes: DataFrame, gone: DataFrame) -> DataFrame:
     long = hot.withColumn("e", entry(no, yes, own, open_))
     met = hot.where("short").withColumn("side", F.explode(F.when(open_, F.array(yes, no)).otherwise(F.array(yes))))
     met = met.withColumn("at", F.explode(F.when(own != next_, F.array(own, next_)).otherwise(F.array(own)))).withColumn("e", entry(yes, no, F.col("at"), F.col("side")))
-    flags = F.shiftleft(F.col("e.short").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("e.long").cast("long"), 57)).bitwiseOR(F.shiftleft(open_.cast("long"), 58))
+    flags = F.shiftleft(F.col("e.short").cast("long"), 56).bitwiseOR(F.shiftleft(F.col("e.long").cast("long"), 57)).bitwiseOR(F.shiftleft(open_.cast("long"), 58)).bitwiseOR(F.shiftleft("when", 59))
     packed = F.col("n").cast("long").bitwiseOR(F.shiftleft(F.col("p").cast("long"), 28)).bitwiseOR(flags)
-    rows = [x.select("e.key", "id", "bits.a", "bits.b", packed.alias("packed")) for x in (some, long, met)]
+    rows = [x.select("e.key", "id", "bits.a", "bits.b", "wide", packed.alias("packed")) for x in (some, long, met)]
     return rows[0].union(rows[1]).union(rows[2])
 
 
 def _pairs(postings: DataFrame) -> DataFrame:
-    """a, b: ids of classes that pass the filters, one of them open at least."""
+    """a, b: ids of classes that pass the filters, the later of them open, as far as the doc_ids' sixteenths tell."""
     x, y = postings.alias("x"), postings.alias("y")
     part = lambda side, at, mask: F.shiftright(F.col(f"{side}.packed"), at).bitwiseAND(F.lit(mask))
     low = (1 << 28) - 1
     n, m, p, q = part("x", 0, low), part("y", 0, low), part("x", 28, low), part("y", 28, low)
     # sides are told apart in conditions on both only, so that they stay one exchange
     flags = F.shiftright(F.col("x.packed"), 56).bitwiseAND(F.lit(1)) + F.shiftright(F.col("y.packed"), 57).bitwiseAND(F.lit(1)) == 2
-    some_open = F.col("x.packed").bitwiseOR(F.col("y.packed")) >= F.lit(1 << 58)
+    open_ = lambda side, other: (part(side, 58, 1) == 1) & (part(side, 59, 15) >= part(other, 59, 15))
+    later_open = open_("x", "y") | open_("y", "x")
     order = (n < m) | ((n == m) & (F.col("x.id") < F.col("y.id")))
     room = F.least(p, q) + F.least(n - p, m - q)
-    near = _near(F.struct("x.a", "x.b"), F.struct("y.a", "y.b"), n, m)
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & flags & order & near & (4 * n >= 3 * m) & some_open & (7 * room >= 3 * (n + m)))
+    flipped = sum(F.bit_count(F.col(f"x.wide.{k}").bitwiseXOR(F.col(f"y.wide.{k}"))) for k in "abcd")
+    near = _near(F.struct("x.a", "x.b"), F.struct("y.a", "y.b"), n, m) & F.coalesce(7 * flipped <= n + m, F.lit(True))
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & flags & order & near & (4 * n >= 3 * m) & later_open & (7 * room >= 3 * (n + m)))
     far = _flipped(F.struct("x.a", "x.b"), F.struct("y.a", "y.b")).cast("int")
     return joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.alias("far")).distinct()
 
@@ -206,7 +263,9 @@ def _later(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """id, id2, first of each class of lines, with ``gone`` if an earlier class matches it."""
-    classes = staged(_classes(docs), "classes")
+    tokens = staged(_tokens(docs), "tokens")
+    classes = staged(_classes(tokens), "classes")
+    release(tokens)
     led = _led(docs, classes)
     total = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     parts = max(12, -(-total // PART))

@@ -1,5 +1,7 @@
 """Skewed mixing, failing hosts, colliding lines, the pipeline, and columns that clash."""
 
+import random
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -179,3 +181,31 @@ def test_pipeline_keeps_what_it_should(spark, sf):
     got = out.orderBy("start").collect()
     assert got and [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
     assert not {r["doc_id"] for r in got} & leaking
+
+
+def _candidates(spark, monkeypatch, texts):
+    """What is removed, and how many pairs were candidates after the leaders."""
+    later, seen = line_dedup._later, []
+    monkeypatch.setattr(line_dedup, "_later", lambda docs, classes, pairs: seen.append(pairs.count()) or later(docs, classes, pairs))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"] for r in line_dedup.deduplicated(docs).collect() if r["removed"]}, seen[0]
+
+
+def test_line_dedup_long_lines_of_common_words_are_no_candidates(spark, monkeypatch):
+    rng = random.Random(3)
+    gone, pairs = _candidates(spark, monkeypatch, [" ".join(f"w{rng.randrange(1400)}" for _ in range(300)) for _ in range(120)])
+    assert not gone and pairs < 120
+
+
+def test_line_dedup_near_copies_find_leaders_among_themselves(spark, monkeypatch):
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(30)]
+    texts = [" ".join([*common, *(f"u{rng.randrange(10**6)}" for _ in range(45))]) for _ in range(40)]
+    base = [*common, *(f"b{i}" for i in range(45))]
+    for _ in range(120):
+        spoilt = set(rng.sample(range(75), 5))
+        texts.append(" ".join(f"x{rng.randrange(10**6)}" if i in spoilt else w for i, w in enumerate(base)))
+    sets = [set(t.split()) for t in texts]
+    want = {j for j, s in enumerate(sets) if any(100 * len(s & t) >= 75 * len(s | t) for t in sets[:j])}
+    gone, pairs = _candidates(spark, monkeypatch, texts)
+    assert gone == want and len(want) > 100 and pairs < 400
