@@ -4,18 +4,21 @@ A line's tokens are its distinct words (lower-cased, cut at ASCII white space).
 whose tokens have a Jaccard similarity of 75 % or more with any earlier line, in order of
 (doc_id, line number; of rows with the same doc_id see below), is removed.
 
-1.  Rarity.  One pass counts words in 2**18 hashed cells (a table of fixed size); a line's
+1.  Equal lines are one class of two 64-bit hashes, represented by its first line, whose words
+    are cut and hashed once.
+2.  Rarity.  One pass counts these tokens in 2**18 hashed cells (a table of fixed size); a line's
     tokens are ordered by their cell's count, in quarters of a power of 2, then by hash.
-2.  Equal lines are one class of two 64-bit hashes, represented by its first line.
-3.  Leaders.  Classes that agree in the least or greatest token hash with more than ``SMALL``
-    others are compared with the first class of these.  Most of a large group of near copies
-    is removed here by a comparison or two a line.  A removed class is no longer asked for.
+3.  Leaders.  Classes that agree in the three least or greatest token hashes with more than
+    ``SMALL`` others are compared with the first class of these, and all that are left with the
+    leaders that many have followed.  Most of a large group of near copies is removed here by a
+    few comparisons a line.  A removed class is no longer asked for.
 4.  Prefix, positional and length filters.  Of two lines of n <= m tokens that match, the
     first n - ceil(6 n / 7) + 1 tokens of one and m - ceil(3 m / 4) + 1 of the other share a
     token.  At positions p, q at most min(p, q) + min(n - p, m - q) tokens are common.  Lists of
     frequent tokens are split by powers of 2 of the length, and those of very frequent ones
     again, so that removed classes never meet each other.  Signatures in which each token
-    flips a bit bound the symmetric difference from below and spare most comparisons.
+    flips a bit bound the symmetric difference from below and spare most comparisons; those of
+    lines of more than ``WIDE`` words have more bits.
 5.  Pairs are verified on the lines' words themselves, a line's nearest candidate first.
 
 Cases: null and empty texts have one line without words; lines without words stay.  Rows
@@ -39,9 +42,9 @@ SMALL = 16
 #: Lists of tokens that are counted so often are split by length, and by whether classes are removed.
 OFTEN = 64
 VERY_OFTEN = 4096
-#: Lines of more words have signatures of 256 bits besides those of 128, in which those of long lines differ too little.
+#: Lines of more words have 256 further bits of signature; in 128 bits long lines that differ look alike.
 WIDE = 128
-#: Leaders of a group, one after the other.
+#: So many leaders follow each other in a group.
 ROUNDS = 2
 #: Postings of one partition of the join.
 PART = 1 << 20
@@ -179,7 +182,7 @@ def _led(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if (many := first.count()):
         asked = first.join(classes.select(F.col("id").alias("a"), F.explode("prefix").alias("token")), "a")
         asked = F.broadcast(asked) if many <= BROADCAST_ROWS // 64 else asked
-        open_ = classes.join(every.select("id"), "id", "left_anti").select("id", "n", "bits", F.explode("prefix").alias("token"))
+        open_ = classes.join(_few(every.select("id")), "id", "left_anti").select("id", "n", "bits", F.explode("prefix").alias("token"))
         pairs = staged(open_.join(asked, "token").where((F.col("id") != F.col("a")) & near).select("a", F.col("id").alias("b")).distinct(), "asked")
         found.append(_verified(docs, classes, pairs))
         release(pairs)
@@ -188,6 +191,11 @@ def _led(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, broadcast if they are few: the other side then stays where it is."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
@@ -204,7 +212,7 @@ def _postings(classes: DataFrame, gone: DataFrame) -> DataFrame:
     when = F.coalesce(F.least(F.lit(15), F.floor(16 * share)), F.lit(0)).cast("long")
     gone = gone.select("id", "id2", F.lit(False).alias("open"))
     band = lambda x: F.length(F.bin(x))
-    each = classes.join(gone, ["id", "id2"], "left").select("id", "n", "bits", "wide", when.alias("when"), F.coalesce("open", F.lit(True)).alias("open"), F.ceil(6 * F.col("n") / 7).alias("least"), band(F.col("n")).alias("own"), band(F.floor(4 * F.col("n") / 3)).alias("next"), "prefix")
+    each = classes.join(_few(gone), ["id", "id2"], "left").select("id", "n", "bits", "wide", when.alias("when"), F.coalesce("open", F.lit(True)).alias("open"), F.ceil(6 * F.col("n") / 7).alias("least"), band(F.col("n")).alias("own"), band(F.floor(4 * F.col("n") / 3)).alias("next"), "prefix")
     every = each.select("*", F.posexplode("prefix").alias("p", "token")).drop("prefix").withColumn("rank", F.shiftright("token", 32)).withColumn("short", F.col("p") <= F.col("n") - F.col("least"))
     yes, no, short, open_, own, next_ = F.lit(True), F.lit(False), F.col("short"), F.col("open"), F.col("own"), F.col("next")
 
