@@ -105,3 +105,13 @@ def test_drafts_are_admitted_as_one_by_one(spark, monkeypatch):
         k = len(A.STAGES) if failed is None else A.STAGES.index(failed) + (status != "REJECTED_PRE_INSERT")
         assert log.get(i, []) == [(s, "FAIL" if s == failed else "PASS") for s in A.STAGES[:k]]
     assert A.audit(got, "v1").select("key").distinct().count() == 400
+
+
+def test_one_event_of_a_name_and_type_is_admitted(spark):
+    fields = "id long, name string, type string, entity long, time_text string, period string, place string, participants int, quote string, chunk string, scope string"
+    event = lambda i, **other: tuple(({"id": i, "name": "n", "type": "t", "entity": 1, "time_text": "1900", "period": None, "place": "x", "participants": 1, "quote": "said so", "chunk": "it said so", "scope": "CORE"} | other).values())
+    events = [event(1, name=" "), event(2, entity=None), event(3, time_text=None), event(4), event(5, time_text=None, period="p"), event(6, type="u"), event(7, quote="other"), event(8, scope=None), event(9, participants=None), event(10, place="")]
+    got = {r[0]: tuple(r)[1:3] + (r["conflict_with"],) for r in A.admit_events(spark.createDataFrame(events, fields)).collect()}
+    stage = A.EVENT_STAGES
+    rejected = {1: 0, 2: 1, 3: 2, 7: 5, 8: 6, 9: 4, 10: 3}
+    assert got == {i: ("REJECTED", stage[n], None) for i, n in rejected.items()} | {4: ("ADMITTED", None, None), 5: ("CONTESTED", None, 4), 6: ("ADMITTED", None, None)}
