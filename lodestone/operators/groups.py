@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Members of a block, as a mean; rows that a task makes of a pair of blocks are its square at most.
-BLOCK = 2048
+#: Members of a block, as a mean; a task holds the rows of a pair of blocks, the square of it, at once.
+BLOCK = 512
 
 
 def blocks(members: DataFrame, keys: list[str], member: str) -> DataFrame:

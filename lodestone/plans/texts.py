@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, text, url
+from ..operators import groups
 from ..operators.staging import staged
 from ..sources import table
 from . import query
@@ -148,15 +149,17 @@ SELECT * FROM p WHERE common > 0"""
 def title_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN-12 over all parts: pairs of a brand that share a 2-gram (of others the similarity is 0).
 
-    Titles are compared once a pair of distinct titles of a brand; every pair of parts is a row.
+    Titles are compared once a pair of distinct titles of a brand; every pair of parts is a row, made at the end from blocks of parts.
     """
     p = table(spark, sf_dir, "part").where("p_brand is not null").select("p_partkey", "p_brand", "p_name")
     g = p.select("p_brand", "p_name").distinct().withColumn("s", text.grams(F.lower("p_name"), 2))
     sets = g.select("p_brand", "p_name", F.size("s").alias("n"), F.explode("s").alias("g"))
     a, b = sets.alias("a"), sets.alias("b")
-    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.g") == F.col("b.g"))).groupBy(F.col("a.p_brand").alias("p_brand"), F.col("a.p_name").alias("x"), F.col("b.p_name").alias("y")).agg(F.count("*").alias("common"), (F.first("a.n") + F.first("b.n")).alias("n"))
-    left, right = p.select("p_brand", F.col("p_name").alias("x"), F.col("p_partkey").alias("a")), p.select("p_brand", F.col("p_name").alias("y"), F.col("p_partkey").alias("b"))
-    return met.join(left, ["p_brand", "x"]).join(right, ["p_brand", "y"]).where("a < b").select("a", "b", "common", (F.col("n") - F.col("common")).cast("long").alias("either"))
+    met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.p_name") <= F.col("b.p_name")))
+    links = met.groupBy(F.col("a.p_brand").alias("p_brand"), F.col("a.p_name").alias("x"), F.col("b.p_name").alias("y")).agg(F.count("*").alias("common"), (F.first("a.n") + F.first("b.n")).alias("n"))
+    links = links.select("p_brand", "x", "y", "common", (F.col("n") - F.col("common")).cast("long").alias("either"))
+    held = groups.blocks(p, ["p_brand", "p_name"], "p_partkey")
+    return groups.expanded(links, held, {"p_brand": "p_brand", "x": "p_name"}, {"p_brand": "p_brand", "y": "p_name"}, F.col("x") == F.col("y")).select("a", "b", "common", "either")
 
 
 @query("year_tokens", "SELECT doc_id, array_to_string(regexp_extract_all(text, '(公元前?\\s*[0-9]+|[0-9]{3,4})', 1), ',') AS years FROM documents")

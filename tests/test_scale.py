@@ -113,3 +113,11 @@ def test_pieces_of_texts_meet_quotes_as_numbers(spark):
     out = texts.quotes_bound(docs, quotes)
     assert {tuple(r)[:3] for r in out.collect()} == {(1, 1, "NORMALIZED"), (1, 2, "NORMALIZED"), (3, 3, "EXACT"), (None, 2, "EXACT")}
     assert "PythonMapInArrow" in plan(out) or "MapInArrow" in plan(out)
+
+
+def test_pairs_of_parts_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.groups.BLOCK", 20, raising=False)
+    spark.range(300).selectExpr("id AS p_partkey", "IF(id % 3 = 0, 'red bolt', 'red rod') AS p_name", "'b' AS p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = catalogue.queries()["title_jaccard"](spark, str(tmp_path))
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == out.distinct().count() == 300 * 299 // 2 and len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)
